@@ -31,8 +31,9 @@ THRESHOLD = 0.7
 
 def document_terms(data: np.ndarray, at: np.ndarray, hashing: Rolling, slots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) of every distinct term of each text; with ``slots``, only buckets that have a slot, as slots."""
+    data = LOWER[data]
     words = Words(data, at, ALNUM)
-    bucket = (hashing.words(data, words, LOWER) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+    bucket = (hashing.words(data, words) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
     row = words.row
     if slots is not None:
         bucket = slots[bucket].astype(np.int64)
