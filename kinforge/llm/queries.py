@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import decontaminate
 from .frames import table
 from .langid import language_id
+from .neardup import near_duplicates
 from .quality import quality
 from .substrings import remove_repeats
 from .suffixtree import score_lm
@@ -33,6 +34,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_lm(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +47,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op4_decontamination, op5_lm_score, op9_toxicity, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op4_decontamination, op5_lm_score, op6_near_dedup, op9_toxicity, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
