@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .frames import table
 from .langid import language_id
 from .neardup import near_duplicates
+from .pieces import decode, encode, load_model
 from .quality import quality
 from .substrings import remove_repeats
 from .suffixtree import score_lm
@@ -38,6 +39,13 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_pieces, ids, and whether the decoded ids are the text."""
+    model = load_model()
+    got = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return got.select("row.row.doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", F.col("row.text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +55,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op4_decontamination, op5_lm_score, op6_near_dedup, op9_toxicity, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op4_decontamination, op5_lm_score, op6_near_dedup, op7_sentencepiece, op9_toxicity, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {}
