@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .frames import fold, labelled_sample, map_batches
 from .textkit import LETTER_ASCII, LOWER, NOT_SPACE, Rolling, Words, by_row, byte_class, mix, runs, text_blocks
@@ -122,15 +123,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out:
     return fit_discriminant(got[list(FEATURES)].to_numpy(float), got["y"].to_numpy())
 
 
-def score_quality(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted for every row of ``docs``."""
+def score_quality(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
+    """doc_id, score, predicted for every row of ``docs``; with ``keep`` also text and, of further columns, ``row``."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")] if keep else []
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []))
+    carried = [c for c in frame.columns if keep or c == "doc_id"]
+
     def kernel(batch: pa.RecordBatch):
         hashing = Rolling(2)
         for lo, hi, data, at in text_blocks(batch.column(1)):
             score = model.score(statistics(data, at, hashing))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
+            own = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in carried), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*carried, "score", "predicted"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), kernel, "doc_id long, score double, predicted int")
+    schema = T.StructType([*(frame.schema[c] for c in carried), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return map_batches(frame, kernel, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> DataFrame:

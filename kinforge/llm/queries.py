@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .covertree import exact_top_k
 from .decontaminate import decontaminate
 from .frames import table
@@ -69,6 +71,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_top_k, op4_decontamination, op5_lm_score, op6_near_dedup, op7_sentencepiece, op8_licence_scan, op9_toxicity, op10_substring_dedup)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_top_k, op4_decontamination, op5_lm_score, op6_near_dedup, op7_sentencepiece, op8_licence_scan, op9_toxicity, op10_substring_dedup, pipeline)}
 
 ORACLES: dict[str, str] = {}
