@@ -18,6 +18,16 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus
 
 
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows: texts are long, and each Python worker holds a batch or two."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a kernel that turns one batch into any number of batches."""
 
@@ -26,6 +36,7 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.Re
             if batch.num_rows:
                 yield from kernel(batch)
 
+    bound_batches(df.sparkSession)
     return df.mapInArrow(each, schema)
 
 

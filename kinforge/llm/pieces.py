@@ -32,7 +32,7 @@ from .textkit import Rolling, byte_class, runs, spans, string_buffers, text_bloc
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, MARK_BYTE = "▁", 0xFF  # no UTF-8 text holds the byte
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
