@@ -85,3 +85,19 @@ def materialize(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+ROWS_PER_PARTITION = 40_000
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """Merge partitions until each may hold ROWS_PER_PARTITION of at most ``rows`` rows, so that a small table's next
+    shuffle does not write a file for every partition of the last one.  The number still grows with the rows."""
+    return df.coalesce(max(1, -(-rows // ROWS_PER_PARTITION)))
+
+
+def settle(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
+    """materialize, with partitions for at most ``rows`` rows if that is known, and count."""
+    done = materialize(df if rows is None else narrow(df, rows))
+    n = done.count()
+    return narrow(done, n), n

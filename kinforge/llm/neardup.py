@@ -9,9 +9,11 @@ into a parity bitmap, the odd sketch; the population count of two bitmaps' XOR e
 estimated far below the threshold (more than six standard errors) are not verified.
 
 Pairs are formed as stars: in every bucket one hub with each other member.  Members that are then still in another
-component than some bucket-mate meet further hubs, picked anew each round, and what remains after STAR_ROUNDS is
-compared exhaustively across components; pairs inside one component never are.  So a group of thousands of near copies
-costs as many pairs as members, and no link between different texts is left out.
+component than some bucket-mate meet further hubs, picked anew each round.  What remains after STAR_ROUNDS goes through
+an exact set join across components (``prefix_pairs``): two sets at the threshold share one of the rarest quarter of
+their shingles at positions that leave enough overlap.  Pairs inside one component never meet.  So a group of thousands
+of near copies costs as many pairs as members, texts that merely share a passage cost none, and no link between
+different texts is left out.
 
 Rows with a null id take no part (component null, kept).  Rows that repeat an id are one document: its texts' links
 join.  Only ``doc_id`` and ``text`` are read; other columns may have any name.
@@ -21,17 +23,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import map_batches, materialize
+from .frames import map_batches, materialize, narrow, settle
 from .textkit import LOWER, U64, Rolling, Words, mix, spans, string_buffers, text_blocks
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 LEAST_ESTIMATE = 0.5
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 _rng = np.random.default_rng(6)
 MULTIPLIERS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
 OFFSETS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -99,7 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch):
         hashing = Rolling(6)
-        for lo, hi, data, at in text_blocks(batch.column(1), 1 << 20):
+        for lo, hi, data, at in text_blocks(batch.column(1), 1 << 19):
             sets, ends = shingle_sets(data, at, hashing)
             n = np.diff(ends)
             full = np.flatnonzero(n)
@@ -121,7 +123,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch):
         hashing = Rolling(6)
-        for lo, hi, data, at in text_blocks(batch.column(1), 1 << 20):
+        for lo, hi, data, at in text_blocks(batch.column(1), 1 << 19):
             sets, ends = shingle_sets(data, at, hashing)
             got = set_classes(sets, ends)
             wanted_ = batch.column(0).slice(lo, hi - lo)
@@ -131,7 +133,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_batches(text, kernel, "class binary, members binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, n: int, sets: DataFrame) -> DataFrame:
     """The linked of ``pairs`` (a, b, a_class, b_class), on full sets."""
     b = sets.select(F.col("class").alias("b_class"), F.col("members").alias("b_set"))
     a = sets.select(F.col("class").alias("a_class"), F.col("members").alias("a_set"))
@@ -146,66 +148,98 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep.append(100 * shared >= PERCENT * (len(both) - shared))
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
-    joined = pairs.join(b, "b_class").join(a, "a_class").select("a", "b", "a_set", "b_set")
-    return map_batches(joined, kernel, "a long, b long").distinct()
+    joined = narrow(pairs.join(b, "b_class"), 16 * n).join(a, "a_class").select("a", "b", "a_set", "b_set")
+    return narrow(map_batches(joined, kernel, "a long, b long"), n).distinct()
 
 
-def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _promising(pairs: DataFrame, n: int, sketches: DataFrame) -> DataFrame:
     x = sketches.select(F.col("class").alias("a_class"), F.col("sketch").alias("a_sketch"))
     y = sketches.select(F.col("class").alias("b_class"), F.col("sketch").alias("b_sketch"))
-    return pairs.join(x, "a_class").join(y, "b_class").where(estimate(F.col("a_sketch"), F.col("b_sketch")) >= LEAST_ESTIMATE).select("a", "b", "a_class", "b_class")
+    return narrow(pairs.join(x, "a_class"), n).join(y, "b_class").where(estimate(F.col("a_sketch"), F.col("b_sketch")) >= LEAST_ESTIMATE).select("a", "b", "a_class", "b_class")
+
+
+def prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b, a_class, b_class) of ``classes`` (class, rep, component) in different components that may be linked.
+
+    Each set is ordered by (frequency among these sets, hash).  Linked sets x, y share a shingle among the first
+    |x| - ceil(0.75 |x|) + 1 places of each, and at their first shared one, at places i and j, the rest suffices:
+    min(|x| - i, |y| - j) + 1 >= 3/7 (|x| + |y|).
+    """
+    own = classes.withColumn("set_id", F.xxhash64("class"))
+
+    def kernel(batch: pa.RecordBatch):
+        blobs = batch.column(1)
+        for lo in range(0, batch.num_rows, 64):
+            got = [np.frombuffer(blobs[i].as_py(), np.int64) for i in range(lo, min(lo + 64, batch.num_rows))]
+            n = np.array([len(x) for x in got])
+            ids = batch.column(0).slice(lo, len(got)).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n).astype(np.int32))], names=["shingle", "set_id", "n"])
+
+    elements = map_batches(sets.join(own.select("class", "set_id"), "class").select("set_id", "members"), kernel, "shingle long, set_id long, n int")
+    several = elements.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = elements.join(several, "shingle").withColumn("k", F.row_number().over(Window.partitionBy("set_id").orderBy("f", "shingle"))).withColumn("m", F.count("*").over(Window.partitionBy("set_id")))
+    place = ranked.withColumn("i", F.col("n") - F.col("m") + F.col("k"))  # the unshared come first
+    prefix = materialize(place.where("i <= n - ceil(0.75 * n) + 1").select("shingle", "set_id", "n", (F.col("n") - F.col("i") + 1).alias("rest")))
+    smallest = prefix.groupBy("shingle").agg(F.min("n").alias("least"), F.count("*").alias("held")).where("held > 1")
+    prefix = prefix.join(smallest, "shingle").where("7 * rest >= 3 * (n + least)").select("shingle", "set_id", "n", "rest")
+    x = prefix.join(own.select("set_id", "component"), "set_id")
+    y = x.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("set_id", "n", "rest", "component")])
+    near = x.join(y, "shingle").where("component < y_component and 7 * least(rest, y_rest) >= 3 * (n + y_n)").select("set_id", "y_set_id").distinct()
+    a = own.select("set_id", F.col("rep").alias("a"), F.col("class").alias("a_class"))
+    b = own.select(F.col("set_id").alias("y_set_id"), F.col("rep").alias("b"), F.col("class").alias("b_class"))
+    return near.join(a, "set_id").join(b, "y_set_id").select("a", "b", "a_class", "b_class")
 
 
 def near_duplicates(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
-    signed = materialize(signatures(docs))
+    signed, n = settle(signatures(docs))
     real = signed.where(F.col("doc_id").isNotNull() & F.col("class").isNotNull())
-    classes = real.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"))
+    classes, n_classes = settle(real.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")), n)
     members = classes.select("class", "rep", F.explode("bands").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("bucket")
-    members = materialize(members.join(crowded, "bucket"))  # of buckets that hold two classes or more
-    wanted = members.select("class", "rep").distinct()
-    sketches = materialize(classes.select("class", "rep", "sketch").join(wanted.select("class"), "class", "left_semi"))
-    sets = materialize(full_sets(docs, wanted))
-
-    several = real.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("doc_id")
-    links = real.select("doc_id", "class").join(several, "doc_id").join(classes.select("class", "rep"), "class").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    links, done, found = materialize(links), None, None
+    crowded = narrow(members.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("bucket"), n_classes * BANDS)
+    members, m = settle(members.join(crowded, "bucket"), n_classes * BANDS)  # of buckets that hold two classes or more
+    wanted = narrow(members.select("class", "rep").distinct(), n_classes)
+    sketches, n_wanted = settle(classes.join(wanted.select("class"), "class", "left_semi").select("class", "rep", "sketch"), n_classes)
+    sets = materialize(full_sets(docs, sketches.select("class", "rep")))
+
+    several = narrow(real.groupBy("doc_id").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("doc_id"), n)
+    owned = narrow(real.select("doc_id", "class").join(several, "doc_id"), n).join(classes.select("class", "rep"), "class")
+    links, n_links = settle(owned.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), n)  # the texts of a repeated id
+    done, found = None, None
     for k in range(star_rounds + 1):
-        left = members if found is None else _unsettled(members, found)
-        if found is not None and left.isEmpty():
+        left, size = (members, m) if found is None else settle(_unsettled(members, m, found), m)
+        if not size:
             break
         if k < star_rounds:
             pick = F.xxhash64("rep", F.lit(k)) if k else F.col("rep")  # at first the smallest id, then any
-            hub = left.groupBy("bucket").agg(F.min(F.struct(pick.alias("pick"), *left.drop("bucket").columns)).alias("h"))
-            pairs = left.join(hub, "bucket").where(F.col("class") != F.col("h.class"))
+            hub = narrow(left.groupBy("bucket").agg(F.min(F.struct(pick.alias("pick"), *left.drop("bucket").columns)).alias("h")), size)
+            pairs = narrow(left.join(hub, "bucket"), size).where(F.col("class") != F.col("h.class"))
             pairs = pairs if found is None else pairs.where(F.col("component") != F.col("h.component"))
             pairs = pairs.select(F.col("h.rep").alias("a"), F.col("rep").alias("b"), F.col("h.class").alias("a_class"), F.col("class").alias("b_class"))
         else:
-            mate = left.select("bucket", *[F.col(c).alias(f"m_{c}") for c in ("class", "rep", "component")])
-            pairs = left.join(mate, "bucket").where("component < m_component").select(F.col("rep").alias("a"), F.col("m_rep").alias("b"), F.col("class").alias("a_class"), F.col("m_class").alias("b_class"))
+            pairs = prefix_pairs(narrow(left.select("class", "rep", "component").distinct(), min(size, n_wanted)), sets)
         flip = F.col("a_class") > F.col("b_class")
         pairs = pairs.select(*[F.when(flip, F.col(f"{y}{s}")).otherwise(F.col(f"{x}{s}")).alias(f"{x}{s}") for x, y in ("ab", "ba") for s in ("", "_class")]).distinct()
+        pairs, n_pairs = settle(pairs, size if k < star_rounds else None)
         if done is not None:
-            pairs = pairs.join(done, ["a_class", "b_class"], "left_anti").select("a", "b", "a_class", "b_class")
-        pairs = materialize(_promising(pairs, sketches))
-        fresh = materialize(verify(pairs, sets))
-        tested = pairs.select("a_class", "b_class")
-        done = tested if done is None else done.unionAll(tested)
-        if found is not None and fresh.isEmpty():
-            continue
-        links = links.unionAll(fresh)
-        found = components(links)
-    result = signed.select("doc_id", "n_shingles", "class").join(classes.select("class", "rep"), "class", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), component)
+            pairs = narrow(pairs.join(done, ["a_class", "b_class"], "left_anti").select("a", "b", "a_class", "b_class"), n_pairs)
+        pairs, n_pairs = settle(_promising(pairs, n_pairs, sketches), n_pairs)
+        fresh, n_fresh = settle(verify(pairs, n_pairs, sets), n_pairs)
+        done = pairs.select("a_class", "b_class") if done is None else done.unionAll(pairs.select("a_class", "b_class"))
+        if n_fresh or found is None:
+            links = links.unionAll(fresh)
+            found = components(links)
+    component = found[0].withColumnRenamed("node", "rep") if found else links.select(F.col("a").alias("rep"), F.col("a").alias("component")).limit(0)
+    known = narrow(classes.select("class", "rep").join(component, "rep", "left"), n_classes).select("class", F.coalesce("component", "rep").alias("of_class"))
+    result = signed.select("doc_id", "n_shingles", "class").join(known, "class", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, m: int, found: tuple[DataFrame, int]) -> DataFrame:
     """Members, with components, of the buckets that still hold several components."""
-    labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
+    labelled = narrow(members.join(found[0].withColumnRenamed("node", "rep"), "rep", "left"), m).withColumn("component", F.coalesce("component", "rep"))
+    mixed = narrow(labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket"), m)
     return labelled.join(mixed, "bucket")
 
 
