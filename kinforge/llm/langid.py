@@ -27,7 +27,7 @@ SAMPLE_ROWS = 3_000
 HASH_BITS = 16
 SEQUENCES, SEQUENCE_WORDS, RUN_WORDS = 4_000, 48, 12
 EPOCHS, BATCH, RATE, DECAY = 6, 200, 0.2, 1e-5
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 _WIDE = byte_class((0x80, 0xFF))
 _LETTERLIKE = LETTER_ASCII | _WIDE
 
