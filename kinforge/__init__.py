@@ -1 +1,8 @@
 """Record linkage and corpus processing on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Arrow kernels travel with the tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
