@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from kinforge.llm.decontaminate import decontaminate
 from kinforge.llm.frames import shared_folder, table
 from kinforge.llm.neardup import near_duplicates
-from kinforge.llm.pieces import decode, encode, load_model
+from kinforge.llm.pieces import encode, load_model
 from kinforge.llm.quality import fit_quality, score_quality
 from kinforge.llm.substrings import remove_repeats
 
@@ -54,11 +54,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids, and whether the ids decode to the text."""
-    model = load_model()
-    # the encoder carries the other columns in row, the decoder carries all of that in a row of its own
-    got = decode(encode(docs, model), model)
-    carried = [F.col("row.text") if c == "text" else F.col(f"row.row.`{c}`") for c in docs.columns]
-    return got.select(*[x.alias(c) for x, c in zip(carried, docs.columns)], "ids", F.col("row.text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    got = encode(docs, load_model(), check=True)
+    own = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
+    return got.select(*[x.alias(c) for x, c in zip(own, docs.columns)], "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -217,56 +217,67 @@ def _carry(docs: DataFrame, *own: str) -> DataFrame:
     return docs.select(*own, *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []))
 
 
-def encode(docs: DataFrame, model: PieceModel) -> DataFrame:
-    """text, [row,] ids of every row of ``docs``."""
+class Spelling:
+    """Bytes of every id, for decoding."""
+
+    def __init__(self, model: PieceModel):
+        spelled = [b"" if x is None else x.replace(bytes([MARK_BYTE]), b" ") for x in model.pieces]
+        for value, i in enumerate(model.byte_ids):
+            spelled[i] = bytes([value]) if i else b""
+        self.lengths = np.array([len(x) for x in spelled], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+        self.table = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def texts(self, ids: np.ndarray, first: np.ndarray, group: int = 256):
+        """Bytes of the texts whose ids are ids[first[i]:first[i + 1]], without the mark put before them."""
+        known = (ids >= 0) & (ids < len(self.lengths))
+        for lo in range(0, len(first) - 1, group):  # bounded gathers
+            at = first[lo : lo + group + 1]
+            own = np.where(known[at[0] : at[-1]], ids[at[0] : at[-1]], 0)
+            size = np.where(known[at[0] : at[-1]], self.lengths[own], 0)
+            blob = self.table[spans(self.begins[own], size)].tobytes()
+            ends = np.concatenate(([0], np.cumsum(size)))[at - at[0]]
+            for x, y in zip(ends, ends[1:]):
+                yield blob[x + 1 : y] if blob[x : min(x + 1, y)] == b" " else blob[x:y]
+
+
+def encode(docs: DataFrame, model: PieceModel, check: bool = False) -> DataFrame:
+    """text, [row,] ids of every row of ``docs``; with ``check`` also round_trip: whether the ids decode to the text."""
     frame = _carry(docs, "text")
     names, key = frame.columns, model.key
     packed = model.pieces, model.scores, model.byte_ids
 
     def kernel(batch: pa.RecordBatch):
         automaton = kept(key, lambda: Automaton(PieceModel(*packed)))
+        spelling = kept(f"{key}-spelling", lambda: Spelling(PieceModel(*packed))) if check else None
         hashing = Rolling(7)
         text = batch.column(0)
         for lo, hi, data, at in text_blocks(text, BLOCK_BYTES):
             ids, offsets = automaton.encode(data, at, hashing)
             gone = text.slice(lo, hi - lo).is_null().to_numpy(zero_copy_only=False)
-            # a null list keeps its offset; from_arrays reads a null offset as a null list
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append(gone, False)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(len(names))] + [lists], names=names + ["ids"])
+            # from_arrays reads a null offset as a null list
+            out = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append(gone, False)), pa.array(ids))]
+            if check:
+                out.append(pa.array([got == data[a:b].tobytes() for got, a, b in zip(spelling.texts(ids, offsets), at, at[1:])], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(i).slice(lo, hi - lo) for i in range(len(names))] + out, names=names + ["ids", "round_trip"][: len(out)])
 
-    return map_batches(frame, kernel, T.StructType([*frame.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + ([T.StructField("round_trip", T.BooleanType())] if check else [])
+    return map_batches(frame, kernel, T.StructType([*frame.schema.fields, *more]))
 
 
 def decode(encoded: DataFrame, model: PieceModel) -> DataFrame:
     """ids, [row,] decoded of every row."""
     frame = _carry(encoded, "ids")
-    names = frame.columns
-    spelled = [b"" if x is None else x.replace(bytes([MARK_BYTE]), b" ") for x in model.pieces]
-    for value, i in enumerate(model.byte_ids):
-        spelled[i] = bytes([value]) if i else b""
-    table = np.frombuffer(b"".join(spelled), np.uint8)
-    ends = np.cumsum([len(x) for x in spelled])
-    begins, lengths = ends - [len(x) for x in spelled], np.array([len(x) for x in spelled])
+    names, key = frame.columns, model.key
+    packed = model.pieces, model.scores, model.byte_ids
 
     def kernel(batch: pa.RecordBatch):
+        spelling = kept(f"{key}-spelling", lambda: Spelling(PieceModel(*packed)))
         lists = batch.column(0)
         gone = lists.is_null().to_numpy(zero_copy_only=False)
         counts = np.where(gone, 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
         ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        known = (ids >= 0) & (ids < len(lengths))
-        size = np.where(known, lengths[np.where(known, ids, 0)], 0)
-        ids = np.where(known, ids, 0)
-        first = np.concatenate(([0], np.cumsum(counts)))
-        cum = np.concatenate(([0], np.cumsum(size)))
-        out = []
-        for lo in range(0, batch.num_rows, 256):  # bounded gathers
-            hi = min(lo + 256, batch.num_rows)
-            a, b = first[lo], first[hi]
-            blob = table[spans(begins[ids[a:b]], size[a:b])].tobytes()
-            for r in range(lo, hi):
-                x, y = cum[first[r]] - cum[a], cum[first[r + 1]] - cum[a]
-                one = blob[x:y]
-                out.append(None if gone[r] else (one[1:] if one[:1] == b" " else one).decode("utf-8", "replace"))
+        out = [None if no else got.decode("utf-8", "replace") for no, got in zip(gone, spelling.texts(ids, np.concatenate(([0], np.cumsum(counts)))))]
         yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [pa.array(out, pa.string())], names=names + ["decoded"])
 
     return map_batches(frame, kernel, T.StructType([*frame.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -15,7 +15,7 @@ from .frames import table
 from .langid import language_id
 from .licences import scan_licences
 from .neardup import near_duplicates
-from .pieces import decode, encode, load_model
+from .pieces import encode, load_model
 from .quality import quality
 from .substrings import remove_repeats
 from .suffixtree import score_lm
@@ -49,9 +49,8 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, ids, and whether the decoded ids are the text."""
-    model = load_model()
-    got = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
-    return got.select("row.row.doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", F.col("row.text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    got = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), load_model(), check=True)
+    return got.select("row.doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
