@@ -57,9 +57,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_doc").alias("doc_id"), F.col("_text").alias("text"), F.col("_y").alias("y"))
 
 
+UNKNOWN_BYTES = 1 << 50
+
+
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame; for Parquet, of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size estimate of a frame (for Parquet, of its files); where it has none, the size is measured."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN_BYTES:
+        return size
+    if "text" in df.columns:
+        return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    return 1024 * df.count()
 
 
 def shards_for(df: DataFrame, shard_bytes: int) -> int:

@@ -134,7 +134,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, n: int, sets: DataFrame) -> DataFrame:
-    """The linked of ``pairs`` (a, b, a_class, b_class), on full sets."""
+    """The linked of ``pairs`` (a, b, a_class, b_class), on full sets; ``n``: at least the pairs and the sets, whichever are more."""
     b = sets.select(F.col("class").alias("b_class"), F.col("members").alias("b_set"))
     a = sets.select(F.col("class").alias("a_class"), F.col("members").alias("a_set"))
 
@@ -149,7 +149,7 @@ def verify(pairs: DataFrame, n: int, sets: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], names=["a", "b"])
 
     joined = narrow(pairs.join(b, "b_class"), 16 * n).join(a, "a_class").select("a", "b", "a_set", "b_set")
-    return narrow(map_batches(joined, kernel, "a long, b long"), n).distinct()
+    return narrow(map_batches(joined, kernel, "a long, b long"), 16 * n).distinct()
 
 
 def _promising(pairs: DataFrame, n: int, sketches: DataFrame) -> DataFrame:
@@ -223,8 +223,8 @@ def near_duplicates(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFram
         pairs, n_pairs = settle(pairs, size if k < star_rounds else None)
         if done is not None:
             pairs = narrow(pairs.join(done, ["a_class", "b_class"], "left_anti").select("a", "b", "a_class", "b_class"), n_pairs)
-        pairs, n_pairs = settle(_promising(pairs, n_pairs, sketches), n_pairs)
-        fresh, n_fresh = settle(verify(pairs, n_pairs, sets), n_pairs)
+        pairs, n_pairs = settle(_promising(pairs, max(n_pairs, n_wanted), sketches), n_pairs)
+        fresh, n_fresh = settle(verify(pairs, max(n_pairs, n_wanted), sets), n_pairs)
         done = pairs.select("a_class", "b_class") if done is None else done.unionAll(pairs.select("a_class", "b_class"))
         if n_fresh or found is None:
             links = links.unionAll(fresh)
