@@ -25,13 +25,14 @@ from .shards import one
 from .textkit import mix
 
 SHARD_BYTES, QUERY_BYTES = 2 << 20, 4 << 20
-LEAF, BASE = 96, 1.4
+LEAF, QUERY_LEAF, BASE = 96, 16, 1.4
 
 
 class CoverTree:
     """Nodes in arrays: centre, radius, point range, child range; points of a node are contiguous in ``order``."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.leaf = leaf
         self.points = points.astype(np.float64)
         self.order = np.arange(len(points))
         self.centre, self.radius, self.span, self.kids = [], [], [], []
@@ -54,7 +55,7 @@ class CoverTree:
 
     def _split(self, node: int) -> list[int]:
         a, b = self.span[node]
-        if b - a <= LEAF or self.radius[node] == 0:
+        if b - a <= self.leaf or self.radius[node] == 0:
             return []
         index = self.order[a:b]
         own = self.points[index]
@@ -97,7 +98,7 @@ class _Best:
 
 def dual_tree_search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[_Best, dict[str, int]]:
     """Best k products of every query among ``vectors``; and how many point pairs were multiplied of how many."""
-    q, r = CoverTree(queries), CoverTree(vectors)
+    q, r = CoverTree(queries, QUERY_LEAF), CoverTree(vectors)
     best = _Best(len(queries), k)
     stats = {"pairs": len(queries) * len(vectors), "multiplied": 0}
     biggest = max(np.abs(queries).max(initial=0), 1) * max(np.abs(vectors).max(initial=0), 1) * max(queries.shape[1], 1)

@@ -77,7 +77,7 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int =
     """``row``, ``bucket``: distinct terms of the texts whose labels are ``y``."""
     share = float(y.mean()) if len(y) else 0.5
     slots = np.full(1 << HASH_BITS, -1, np.int16)
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         b = np.clip(share, 1e-3, 1 - 1e-3)
         return FactorizationMachine(slots, float(np.log(b / (1 - b))), np.zeros(1), np.zeros((1, 1)))
     chosen = select_terms(row, bucket, y)
