@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -92,7 +93,7 @@ def jaro_winkler(a: str, b: str) -> float:
 def pair_function(*kernels: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
     """One Arrow function that returns an array with the value of every kernel, so that a pair crosses over once."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def both(a: pd.Series, b: pd.Series) -> pd.Series:
         pairs = list(zip(a.fillna(""), b.fillna("")))
         known = {p: [k(*p) for k in kernels] for p in set(pairs)}  # equal pairs of a batch are computed once

@@ -13,6 +13,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import LEGAL_FORMS, STREET_WORDS
 
@@ -59,7 +60,7 @@ def strip_latin_accents(text: Column) -> Column:
     return F.translate(F.when(hard, longer).otherwise(text), source, target)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_accents(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else _fold(t))
 
@@ -227,7 +228,7 @@ def spell_brahmic(token: str) -> str:
     return _SYLLABLE.sub(spell, token)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _spell(token: pd.Series) -> pd.Series:
     return token.map(lambda t: None if t is None else spell_brahmic(t))
 

@@ -50,7 +50,7 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def split_ids(cell) -> F.Column:
     """Ids of a comma-joined cell, trimmed, without empty ones and repeats."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def explode_list(lists: DataFrame) -> DataFrame:
