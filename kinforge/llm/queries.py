@@ -17,6 +17,7 @@ from .licences import scan_licences
 from .neardup import near_duplicates
 from .pieces import encode, load_model
 from .quality import quality
+from .sql import ORACLES
 from .substrings import remove_repeats
 from .suffixtree import score_lm
 from .toxicity import toxicity
@@ -74,6 +75,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_top_k, op4_decontamination, op5_lm_score, op6_near_dedup, op7_sentencepiece, op8_licence_scan, op9_toxicity, op10_substring_dedup, pipeline)}
+__all__ = ["ORACLES", "QUERIES"]
 
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality, op3_exact_top_k, op4_decontamination, op5_lm_score, op6_near_dedup, op7_sentencepiece, op8_licence_scan, op9_toxicity, op10_substring_dedup, pipeline)}
