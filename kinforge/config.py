@@ -62,4 +62,5 @@ class LinkConfig:
     screener_share: float = 0.7
     probability_decimals: int = 6
     keep_duplicate_keys: bool = False
+    persist: bool = True  # keep the tables that several operators read (memory, then disk); see Linkage.release
     key_weights: dict = field(default_factory=lambda: dict(KEY_WEIGHTS))

@@ -33,12 +33,11 @@ def _fold(text: str) -> str:
 
 
 @cache
-def _latin_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Accented Latin letters and what they fold to: single characters for translate(), and the longer ones."""
+def _latin_table() -> tuple[str, str, str]:
+    """Latin letters that fold to another single character, those characters, and the letters that fold to several."""
     folded = {c: _fold(c) for r in _LATIN for c in map(chr, r)}
     one = {c: f for c, f in folded.items() if f != c and len(f) == 1}
-    more = tuple((c, f) for c, f in folded.items() if f != c and len(f) != 1)
-    return "".join(one), "".join(one.values()), more
+    return "".join(one), "".join(one.values()), "".join(c for c, f in folded.items() if len(f) != 1)
 
 
 def squeeze_spaces(text: Column) -> Column:
@@ -46,18 +45,16 @@ def squeeze_spaces(text: Column) -> Column:
 
 
 def needs_unicode(text: Column) -> Column:
-    """True if the text holds a character outside the Latin blocks (marks, other scripts, full-width forms...)."""
-    return text.rlike(r"[^\x{0000}-\x{024F}\x{1E00}-\x{1EFF}]")
+    """True if the text holds a character outside the Latin blocks (marks, other scripts, full-width forms...), or a
+    Latin one that folds to several."""
+    several = "".join(f"\\x{{{ord(c):04X}}}" for c in _latin_table()[2])
+    return text.rlike(rf"[^\x{{0000}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}]|[{several}]")
 
 
 def strip_latin_accents(text: Column) -> Column:
-    """``strip_accents`` for texts of the Latin blocks alone, without Python."""
-    source, target, more = _latin_table()
-    longer = F.regexp_replace(text, "$^", "")
-    for c, f in more:
-        longer = F.replace(longer, F.lit(c), F.lit(f))
-    hard = text.rlike("[" + "".join(re.escape(c) for c, _ in more) + "]") if more else F.lit(False)
-    return F.translate(F.when(hard, longer).otherwise(text), source, target)
+    """``strip_accents`` for texts without a need of Unicode data: one translate()."""
+    source, target, _ = _latin_table()
+    return F.translate(text, source, target)
 
 
 @F.pandas_udf(T.StringType())
@@ -94,12 +91,8 @@ def normalize_address(folded: Column) -> Column:
     """Cleaned address with street words written out."""
     cleaned = clean_basic(folded)
     words = F.create_map(*[F.lit(x) for pair in STREET_WORDS.items() for x in pair])
-    by_token = F.array_join(F.transform(F.split(cleaned, " "), lambda t: F.coalesce(F.try_element_at(words, t), t)), " ")
-    chained = cleaned
-    for short, full in STREET_WORDS.items():
-        chained = F.regexp_replace(chained, rf"(?U)\b{short}\b", full)
-    # a word boundary inside a token needs some other character there
-    return squeeze_spaces(F.when(cleaned.rlike(r"(?U)[^\w\s]"), chained).otherwise(by_token))
+    pieces = F.split(cleaned, r"(?U)\b")  # a street word is a whole piece between word boundaries
+    return squeeze_spaces(F.array_join(F.transform(pieces, lambda t: F.coalesce(F.try_element_at(words, t), t)), ""))
 
 
 def tokens(text: Column) -> Column:

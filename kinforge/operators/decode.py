@@ -25,27 +25,34 @@ def above_floor(scores: DataFrame, floor: float = 0.70) -> DataFrame:
     return scores.withColumn("top", F.max("prob").over(Window.partitionBy("s1_id"))).where(F.col("top") >= floor).drop("top")
 
 
+def _decided(scores: DataFrame, floor: float, beta2: float) -> DataFrame:
+    """Adds place (by probability, then rank), k and n.  One shuffle; a record has max_candidates rows at most."""
+    whole = Window.partitionBy("s1_id")
+    order = whole.orderBy(F.desc("prob"), "rank")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = scores.select(
+        "*", F.row_number().over(order).alias("place"), F.sum("prob").over(upto).alias("_s"), F.sum("prob").over(every).alias("_t"),
+        F.max("prob").over(every).alias("_top"), F.product(1 - F.col("prob")).over(every).alias("_none"), F.count("*").over(every).alias("n"),
+    )
+    f = (1 + beta2) * F.col("_s") / (beta2 * F.col("_t") + F.col("place"))
+    best = sums.withColumn("_best", F.max(F.struct(f.alias("f"), (-F.col("place")).alias("k"))).over(every))
+    k = F.when((F.col("_top") < floor) | (F.col("_none") >= F.col("_best.f")), 0).otherwise(-F.col("_best.k")).cast("int")
+    return best.withColumn("k", k).select(*scores.columns, "place", "k", "n")
+
+
 def expected_f05_decode(scores: DataFrame, floor: float = 0.70, beta2: float = 0.25) -> DataFrame:
     """(s1_id, k, n): how many of a record's best candidates maximise the expected F score.
 
     With S_k the sum of the k best probabilities of n: f_k = (1 + beta2) S_k / (beta2 S_n + k), and f_0 is the
     probability that none matches.  A maximum below the floor decides for none; ties take the smaller k.
     """
-    whole = Window.partitionBy("s1_id")
-    order = whole.orderBy(F.desc("prob"), "rank")
-    ranked = scores.select("s1_id", "prob", F.row_number().over(order).alias("k"), F.sum("prob").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
-    total = scores.groupBy("s1_id").agg(F.sum("prob").alias("t"), F.max("prob").alias("top"), F.product(1 - F.col("prob")).alias("none"), F.count("*").alias("n"))
-    f = ranked.join(total, "s1_id").withColumn("f", (1 + beta2) * F.col("s") / (beta2 * F.col("t") + F.col("k")))
-    best = f.groupBy("s1_id").agg(F.max(F.struct("f", (-F.col("k")).alias("k"))).alias("b"), F.first("none").alias("none"), F.first("top").alias("top"), F.first("n").alias("n"))
-    k = F.when((F.col("top") < floor) | (F.col("none") >= F.col("b.f")), 0).otherwise(-F.col("b.k"))
-    return best.select("s1_id", k.cast("int").alias("k"), "n")
+    return _decided(scores, floor, beta2).where("place = 1").select("s1_id", "k", "n")
 
 
 def decode_all(s1: DataFrame, scores: DataFrame, floor: float = 0.70) -> DataFrame:
     """(s1_id, cid, prob): the accepted pairs."""
-    order = Window.partitionBy("s1_id").orderBy(F.desc("prob"), "rank")
-    ranked = scores.select("s1_id", "cid", "prob", F.row_number().over(order).alias("place"))
-    return ranked.join(expected_f05_decode(scores, floor).select("s1_id", "k"), "s1_id").where(F.col("place") <= F.col("k")).join(s1.select("s1_id"), "s1_id", "left_semi").select("s1_id", "cid", "prob")
+    return _decided(scores, floor, 0.25).where("place <= k").join(s1.select("s1_id"), "s1_id", "left_semi").select("s1_id", "cid", "prob")
 
 
 def resolve_winners(scores: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +36,20 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def first_of_each_id(entities: DataFrame) -> DataFrame:
-    """One row for every entity_id: the smallest of its rows by content."""
+    """One row for every entity_id: the smallest of its rows by content.
+
+    Applied to normalized records, so that all users of a table read one shuffle of finished columns.
+    """
     rest = [c for c in entities.columns if c != "entity_id"]
     kept = entities.groupBy("entity_id").agg(F.min(F.struct(*rest)).alias("r"))
     return kept.select("entity_id", *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def kept(df: DataFrame, config: LinkConfig) -> DataFrame:
+    """Persisted in memory and on disk, if the settings ask for it; a lost part is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK) if config.persist else df
+
+
 def hot_keys(postings: DataFrame, cap: int) -> DataFrame:
     """(country, key, n) of the keys held by more than ``cap`` candidates."""
     return postings.groupBy("country", "key").agg(F.count("*").alias("n")).where(F.col("n") > cap)
@@ -71,10 +80,11 @@ class CandidateIndex:
 
 def build_index(sources: list[DataFrame], config: LinkConfig = LinkConfig(), translit=None) -> CandidateIndex:
     """Index of the union of the candidate sources; ``translit`` rewrites the candidates' texts first."""
-    entities = first_of_each_id(union_sources(*sources))
+    entities = union_sources(*sources)
     if translit is not None:
-        entities = translit(entities)
-    candidates = normalize_entities(entities).withColumnRenamed("entity_id", "cid")
+        entities = translit(first_of_each_id(entities))
+    candidates = first_of_each_id(normalize_entities(entities)).withColumnRenamed("entity_id", "cid")
+    candidates = kept(candidates, config)
     df = document_frequency(candidates)
     return CandidateIndex(candidates, df, cap_postings(blocking_keys(candidates, "cid", df, config), config.posting_cap), config)
 

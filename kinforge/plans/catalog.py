@@ -83,7 +83,7 @@ class Tables:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return surrogate_score(self.features).select("s1_id", "cid", "rank", "country", "prob")
+        return ix.kept(surrogate_score(self.features).select("s1_id", "cid", "rank", "country", "prob"), self.config)
 
     @cached_property
     def accepted(self) -> DataFrame:

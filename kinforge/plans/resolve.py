@@ -12,7 +12,7 @@ from ..config import LinkConfig
 from ..functions.similarity import with_features
 from ..operators.decode import decode_all, dedupe_matches, match_lists
 from ..operators.evaluate import evaluate
-from ..operators.index import CandidateIndex, build_index, first_of_each_id, normalize_entities
+from ..operators.index import CandidateIndex, build_index, first_of_each_id, kept, normalize_entities
 from ..operators.retrieve import candidate_lists, retrieve
 from ..operators.translit import apply_dictionary
 
@@ -24,9 +24,9 @@ def surrogate_score(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("prob", F.round((F.col("name_jaccard") + F.col("addr_jaccard") + F.col("num_jaccard")) / 3, 4))
 
 
-def reference_records(entities: DataFrame) -> DataFrame:
+def reference_records(entities: DataFrame, config: LinkConfig = LinkConfig()) -> DataFrame:
     """Normalized records of the reference source, keyed by s1_id; their texts are not transliterated."""
-    return normalize_entities(first_of_each_id(entities)).withColumnRenamed("entity_id", "s1_id")
+    return kept(first_of_each_id(normalize_entities(entities)).withColumnRenamed("entity_id", "s1_id"), config)
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,11 @@ class Linkage:
     def candidates(self) -> DataFrame:
         return candidate_lists(self.s1, self.ranked)
 
+    def release(self) -> None:
+        """Give up the persisted tables."""
+        for df in (self.s1, self.index.candidates, self.scores):
+            df.unpersist()
+
     def evaluate(self, truth: DataFrame, by: str | None = None) -> DataFrame:
         return evaluate(self.s1, truth, self.matches, by)
 
@@ -56,8 +61,8 @@ def link(s1: DataFrame, sources: list[DataFrame], scorer: Scorer = surrogate_sco
     of building one.  Without ``kernels`` the plan runs in the JVM alone, ranks by key weights and uses the plain features.
     """
     rewrite = (lambda e: apply_dictionary(e, dictionary)) if dictionary is not None else None
-    records, index = reference_records(s1), index or build_index(sources, config, rewrite)
+    records, index = reference_records(s1, config), index or build_index(sources, config, rewrite)
     ranked = retrieve(records, index, by_text=kernels)
-    scores = scorer(with_features(ranked, kernels)).select("s1_id", "cid", "rank", "prob")
+    scores = kept(scorer(with_features(ranked, kernels)).select("s1_id", "cid", "rank", "prob"), config)
     accepted = decode_all(records, scores, config.confidence_floor)
     return Linkage(records, index, ranked, scores, accepted, dedupe_matches(accepted, scores))
