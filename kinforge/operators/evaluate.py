@@ -88,13 +88,11 @@ def nearest_rank(values: DataFrame, column: str, shares: tuple[float, ...] = (0.
 
 def threshold_sweep(s1: DataFrame, truth: DataFrame, scores: DataFrame, grid: tuple[float, ...]) -> DataFrame:
     """(threshold, macro_f05, best) in one pass: a pair counts for every threshold up to its probability."""
-    spark = scores.sparkSession
-    levels = spark.createDataFrame([(float(t),) for t in grid], "threshold double")
     each = F.array(*[F.lit(float(t)) for t in grid])
     pairs = scores.select("s1_id", "cid", "prob").join(truth.select("s1_id", "cid").distinct().withColumn("t", F.lit(1)), ["s1_id", "cid"], "left")
     hits = pairs.select("s1_id", "t", F.explode(F.filter(each, lambda x: F.col("prob") >= x)).alias("threshold")).groupBy("s1_id", "threshold").agg(F.count("*").alias("n_pred"), F.count("t").alias("n_both"))
     true = s1.select("s1_id").join(truth.select("s1_id", "cid").distinct().groupBy("s1_id").agg(F.count("*").alias("n_true")), "s1_id", "left")
-    rows = true.crossJoin(F.broadcast(levels)).join(hits, ["s1_id", "threshold"], "left").select("threshold", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_true", "n_pred", "n_both")])
+    rows = true.select("*", F.explode(each).alias("threshold")).join(hits, ["s1_id", "threshold"], "left").select("threshold", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_true", "n_pred", "n_both")])
     macro = rows.groupBy("threshold").agg(F.round(F.avg(f05(F.col("n_true"), F.col("n_pred"), F.col("n_both"))), 6).alias("macro_f05"))
     best = macro.agg(F.min(F.struct((-F.col("macro_f05")).alias("m"), "threshold")).alias("b"))  # the first of equal ones
     return macro.crossJoin(best).select("threshold", "macro_f05", (F.col("threshold") == F.col("b.threshold")).alias("best"))

@@ -85,6 +85,12 @@ class Tables:
     def scores(self) -> DataFrame:
         return ix.kept(surrogate_score(self.features).select("s1_id", "cid", "rank", "country", "prob"), self.config)
 
+    @cached_property
+    def training(self) -> DataFrame:
+        """Labelled pairs with plain features and the part of the split; the models read them many times."""
+        pairs = tr.training_pairs(self.ranked, self.truth, self.s1, self.index.candidates, kernels=False)
+        return ix.kept(pairs.join(sp.split_entities(self.s1, "s1_id"), "s1_id"), self.config)
+
     @cached_property
     def accepted(self) -> DataFrame:
         return dc.decode_all(self.s1, self.scores)
@@ -574,8 +580,7 @@ def positive_sample(t):
 @register()
 def screener_scores(t):
     """Gradient-boosted screener: fitted on the training split's pairs, applied to the validation split's."""
-    parts = sp.split_entities(t.s1, "s1_id")
-    pairs = tr.training_pairs(t.ranked, t.truth, t.s1, t.index.candidates, kernels=False).join(parts, "s1_id")
+    pairs = t.training
     model = tr.fit_screener(pairs.where("part = 'train'"), trees=10, depth=4)
     return tr.Cascade(model).score(pairs.where("part = 'val'")).select("s1_id", "cid", "label", "prob")
 
@@ -583,8 +588,7 @@ def screener_scores(t):
 @register()
 def cascade_scores(t):
     """Screener and specialist, blended inside the band."""
-    parts = sp.split_entities(t.s1, "s1_id")
-    pairs = tr.training_pairs(t.ranked, t.truth, t.s1, t.index.candidates, kernels=False).join(parts, "s1_id")
+    pairs = t.training
     train = pairs.where("part = 'train'")
     cascade = tr.Cascade(tr.fit_screener(train, trees=5, depth=3), tr.fit_specialist(train, hidden=(16,), iterations=15))
     return cascade.score(pairs.where("part = 'val'")).select("s1_id", "cid", "label", "prob")
