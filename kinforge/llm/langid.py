@@ -28,13 +28,13 @@ HASH_BITS = 16
 SEQUENCES, SEQUENCE_WORDS, RUN_WORDS = 4_000, 48, 12
 EPOCHS, BATCH, RATE, DECAY = 6, 200, 0.2, 1e-5
 BLOCK_BYTES = 3 << 20
+WORDS_AT_ONCE = 1 << 15  # whose features are held together
 _WIDE = byte_class((0x80, 0xFF))
 _LETTERLIKE = LETTER_ASCII | _WIDE
 
 
-def word_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashing: Rolling) -> tuple[np.ndarray, np.ndarray]:
+def word_features(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashing: Rolling) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of all features: prefixes of 1-3 and suffixes of 1-4 bytes, 2- and 3-grams, and the word itself."""
-    sums = hashing.sums(data, LOWER)
     n = np.arange(len(starts))
     word, bucket = [], []
 
@@ -63,8 +63,13 @@ class WordCRF:
     start: np.ndarray
 
     def emissions(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashing: Rolling) -> np.ndarray:
-        word, bucket = word_features(data, starts, ends, hashing)
-        return np.column_stack([by_row(word, len(starts), self.weights[bucket, k].astype(float)) for k in range(len(self.languages))])
+        sums, out = hashing.sums(data, LOWER), np.empty((len(starts), len(self.languages)))
+        for a in range(0, len(starts), WORDS_AT_ONCE):
+            some = slice(a, a + WORDS_AT_ONCE)
+            word, bucket = word_features(sums, starts[some], ends[some], hashing)
+            for k in range(len(self.languages)):
+                out[some, k] = by_row(word, len(out[some]), self.weights[bucket, k].astype(float))
+        return out
 
     def posteriors(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Forward-backward over all sequences of a block in step: sequence i is scores[first[i]:first[i + 1]]."""
@@ -132,7 +137,7 @@ def fit_crf(texts: list[str], langs: list[str], seed: int = 5) -> WordCRF:
     size = len(names)
     w, t, s = np.zeros((1 << HASH_BITS, size)), np.zeros((size, size)), np.zeros(size)
     gw, gt, gs = np.full_like(w, 1e-6), np.full_like(t, 1e-6), np.full_like(s, 1e-6)
-    word, bucket = word_features(data, words.starts[index.ravel()], words.ends[index.ravel()], hashing)
+    word, bucket = word_features(hashing.sums(data, LOWER), words.starts[index.ravel()], words.ends[index.ravel()], hashing)
     order = np.argsort(word, kind="stable")
     word, bucket = word[order], bucket[order]
     begins = np.searchsorted(word, np.arange(index.size + 1))
