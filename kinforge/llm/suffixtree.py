@@ -2,11 +2,16 @@
 
 Tokens are the lower-cased words of a text and one end.  The tree predicts the text byte by byte: every word's bytes,
 then a blank if a word follows and the end mark if not, so its probabilities are over the same token sequences as the
-base's.  Contexts of up to DEPTH bytes are counted over the whole training part of the corpus.  A context is a
-candidate if it has at least P_MIN of all symbols (so there are at most 1 / P_MIN per length, which bounds the model
-that is broadcast), and is kept if its next-symbol counts diverge from its parent's: N * KL >= DIVERGENCE nats; the
-suffixes of kept contexts stay too.  Distributions are smoothed along the path of suffixes (Witten-Bell) down to a
-uniform root.  A symbol is scored in the longest suffix state of what precedes it.
+base's.  Contexts of up to LONG bytes (with their symbol, one 64-bit number) are counted over the whole training part of
+the corpus.  A context is a candidate if it is seen LEAST times, whatever the size of the corpus, and is kept if its
+next-symbol counts diverge from its parent's: N * KL >= DIVERGENCE nats; the suffixes of kept contexts stay too, and
+contexts of up to SHORT bytes always do.  So the number of states grows with the corpus.  Distributions are smoothed
+along the path of suffixes (Witten-Bell) down to a uniform root.  A symbol is scored in the longest suffix state of what
+precedes it.
+
+No worker holds the tree.  Contexts longer than SHORT bytes live in the hash part of their last SHORT + 1 bytes, with all
+their suffixes down to that length; shards ask these parts for the scores of their distinct grams and bring the counts
+along (see ``shards``).  Only contexts of up to SHORT bytes are broadcast: their number is limited by the alphabet.
 
 The base needs the count of every token of every text: shards ask hash parts for the counts of their distinct tokens
 (see ``shards``), so the vocabulary is never in one place and a frequent word is one key per shard.
@@ -19,7 +24,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +35,23 @@ from . import shards as sh
 from .frames import fold
 from .textkit import LOWER, U64, Rolling, Words, by_row, mix, runs, spans, text_blocks
 
-DEPTH, P_MIN, LEAST, DIVERGENCE = 5, 4e-6, 3, 8.0
+DEPTH, LONG, SHORT, LEAST, DIVERGENCE = 5, 7, 3, 3, 8.0  # DEPTH: of the in-memory functions, if not said
 BLANK, END = 0x20, 0x0A
 BLOCK_BYTES = 2 << 20
 END_TOKEN = int(mix(np.array([1], np.uint64))[0])
 
 
-def grams(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Per symbol of every text: the DEPTH bytes before it and itself as a number, and its row.  ``data`` is lower-cased."""
+def grams(data: np.ndarray, words: Words, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Per symbol of every text: the ``depth`` bytes (7 at most) before it and itself as a number, and its row.  ``data`` is lower-cased."""
     n = len(words.counts)
     length = words.ends - words.starts + 1
     size = by_row(words.row, n, length.astype(float)).astype(np.int64)
-    size = np.where(words.counts == 0, 1, size) + DEPTH
+    size = np.where(words.counts == 0, 1, size) + depth
     ends = np.cumsum(size)
     stream = np.full(int(ends[-1]) if n else 0, END, np.uint8)
     within = np.cumsum(length) - length
     before = np.concatenate(([0], within, [length.sum()]))[np.minimum(words.first[:-1] + 1, len(length) + 1)] if len(length) else np.zeros(n, np.int64)
-    to = (ends - size + DEPTH)[words.row] + within - before[words.row] if len(length) else within
+    to = (ends - size + depth)[words.row] + within - before[words.row] if len(length) else within
     place = spans(to, length)
     source = spans(words.starts, length)
     source[np.cumsum(length) - 1] = 0
@@ -55,14 +60,14 @@ def grams(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     stream[place[last]] = BLANK
     stream[ends - 1] = END
     code = np.zeros(len(stream), np.uint64)
-    for k in range(DEPTH + 1):
+    for k in range(depth + 1):
         code[k:] |= stream[: len(stream) - k].astype(np.uint64) << U64(8 * k)
     row = np.repeat(np.arange(n), size)
-    real = np.arange(len(stream)) >= np.repeat(ends - size + DEPTH, size)
+    real = np.arange(len(stream)) >= np.repeat(ends - size + depth, size)
     return code[real], row[real]
 
 
-def count_grams(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
+def count_grams(docs: DataFrame, modulus: int, held_out: int, depth: int) -> DataFrame:
     """(code, n): counts of all grams of the training texts."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,61 +75,77 @@ def count_grams(docs: DataFrame, modulus: int, held_out: int) -> DataFrame:
         for batch in batches:
             for _, _, data, at in text_blocks(batch.column(0), BLOCK_BYTES):
                 data = LOWER[data]
-                got = np.sort(grams(data, Words(data, at))[0])
+                got = np.sort(grams(data, Words(data, at), depth)[0])
                 first, n = runs(got)
-                both = np.concatenate((codes, got[first]))
-                order = np.argsort(both, kind="stable")
-                begin, _ = runs(both[order])
-                codes, counts = both[order][begin], np.add.reduceat(np.concatenate((counts, n))[order], begin)
+                codes, counts = add_up(np.concatenate((codes, got[first])), np.concatenate((counts, n)))
         for a in range(0, len(codes), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + (1 << 18)].astype(np.int64)), pa.array(counts[a : a + (1 << 18)])], names=["code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes[a : a + (1 << 18)].view(np.int64)), pa.array(counts[a : a + (1 << 18)])], names=["code", "n"])
 
     learned = docs.where(fold("doc_id", modulus) != held_out).select("text")
     return learned.mapInArrow(kernel, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def fit_tree(docs: DataFrame, modulus: int = 10, held_out: int = 0) -> dict[str, np.ndarray]:
-    """Count over the corpus, test candidates, and lay the kept states out in arrays."""
-    from .frames import materialize
+def add_up(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and the sums of their counts."""
+    if not len(codes):
+        return codes, counts
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    begin, _ = runs(codes)
+    return codes[begin], np.add.reduceat(counts[order], begin)
+
+
+def candidates(codes: np.ndarray, counts: np.ndarray, depths: Iterable[int]) -> tuple[np.ndarray, ...]:
+    """(depth, context, symbol, n), sorted, of the contexts of these depths (ascending) seen LEAST times or more."""
+    out = [(np.zeros(0, np.int64),) * 4]
+    for depth in depths:
+        gram, n = add_up(codes & U64((1 << 8 * (depth + 1)) - 1), counts)
+        begin, length = runs(gram >> U64(8))
+        alive = np.repeat(np.add.reduceat(n, begin) >= LEAST, length) if len(begin) else np.zeros(0, bool)
+        gram, n = gram[alive], n[alive]
+        out.append((np.full(len(gram), depth), (gram >> U64(8)).astype(np.int64), (gram & U64(255)).astype(np.int64), n))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
 
-    full = materialize(count_grams(docs, modulus, held_out))
-    total = full.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST, P_MIN * total)
-    each = [F.struct(F.lit(d).alias("d"), F.col("code").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")) for d in range(DEPTH + 1)]
-    counted = full.select(F.explode(F.array(*each)).alias("g"), "n").groupBy("g.d", "g.gram").agg(F.sum("n").alias("n"))
-    context = F.shiftright("gram", 8)
-    wide = counted.groupBy("d", context.alias("context")).agg(F.sum("n").alias("total"), F.collect_list(F.struct((F.col("gram") % 256).alias("symbol"), "n")).alias("next"))  # 256 at most
-    got = wide.where(F.col("total") >= least).select("d", "context", F.explode("next").alias("x")).select("d", "context", F.col("x.symbol").alias("symbol"), F.col("x.n").alias("n")).toArrow()
-    return grow(*(got.column(c).to_numpy().astype(np.int64) for c in ("d", "context", "symbol", "n")))
+def collected(docs: DataFrame, modulus: int, held_out: int, depth: int) -> tuple[np.ndarray, ...]:
+    got = count_grams(docs, modulus, held_out, depth).toArrow()
+    codes, counts = add_up(got.column("code").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64))
+    return candidates(codes, counts, range(depth + 1))
 
 
-def grow(d: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+def fit_tree(docs: DataFrame, modulus: int = 10, held_out: int = 0, depth: int = LONG) -> dict[str, np.ndarray]:
+    """The whole tree in one process.  For tests."""
+    return grow(*collected(docs, modulus, held_out, depth))
+
+
+def grow(d: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, ordered: bool = False) -> dict[str, np.ndarray]:
     """Arrays of the kept states: per depth sorted contexts; per state its parent, escape weight; sorted (state, symbol) probabilities."""
     if not len(d):
         d, context, symbol, n = (np.zeros(1, np.int64),) * 3 + (np.ones(1, np.int64) * 0,)
-    order = np.lexsort((symbol, context, d))
-    d, context, symbol, n = d[order], context[order], symbol[order], n[order]
-    begin, length = runs(d << 48 | context)
+    if not ordered:
+        order = np.lexsort((symbol, context, d))
+        d, context, symbol, n = d[order], context[order], symbol[order], n[order]
+    begin, length = runs(d << 56 | context)
     depth, name = d[begin], context[begin]
     total = np.add.reduceat(n, begin)
     state = np.repeat(np.arange(len(begin)), length)
-    key = depth << 48 | name
-    suffix = np.where(depth > 0, (depth - 1) << 48 | (name & ((1 << 8 * np.maximum(depth - 1, 0)) - 1)), 0)
+    key = depth << 56 | name
+    suffix = np.where(depth > 0, (depth - 1) << 56 | (name & ((1 << 8 * np.maximum(depth - 1, 0)) - 1)), 0)
     parent = np.searchsorted(key, suffix)  # a suffix is at least as frequent, so it is a candidate too
     pair = state << 8 | symbol
     up = np.searchsorted(pair, parent[state] << 8 | symbol)
     p, q = n / np.maximum(total[state], 1), n[np.minimum(up, len(n) - 1)] / np.maximum(total[parent[state]], 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.add.reduceat(np.where(n > 0, n * np.log(np.maximum(p, 1e-300) / np.maximum(q, 1e-300)), 0), begin)
-    keep = (depth == 0) | (gain >= DIVERGENCE)
-    for level in range(DEPTH, 0, -1):
+    keep = (depth <= SHORT) | (gain >= DIVERGENCE)
+    for level in range(LONG, 0, -1):
         keep[parent[keep & (depth == level)]] = True
     kept = np.cumsum(keep) - 1
     seen = keep[state]
     distinct = length.astype(float)
     escape = np.where(total > 0, distinct / (total + distinct), 1.0)
     probability = np.zeros(len(n))
-    for level in range(DEPTH + 1):  # the parent's smoothed value is known first
+    for level in range(LONG + 1):  # the parent's smoothed value is known first
         own = depth[state] == level
         below = 1 / 256 if level == 0 else probability[up[own]]
         probability[own] = n[own] / (total + distinct)[state[own]] + escape[state[own]] * below
@@ -133,12 +154,12 @@ def grow(d: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray)
 
 def log_probabilities(codes: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
     """log10 of each gram's last symbol in its longest suffix state."""
-    codes = codes.astype(np.int64)
-    context, symbol = codes >> 8, codes & 255
+    codes = codes.astype(np.uint64)
+    context, symbol = (codes >> U64(8)).astype(np.int64), (codes & U64(255)).astype(np.int64)
     state = np.zeros(len(codes), np.int64)
     open_ = np.arange(len(codes))
-    for level in range(DEPTH, 0, -1):
-        want = level << 48 | context[open_] & ((1 << 8 * level) - 1)
+    for level in range(LONG, 0, -1):
+        want = level << 56 | context[open_] & ((1 << 8 * level) - 1)
         at = np.minimum(np.searchsorted(model["key"], want), len(model["key"]) - 1)
         found = model["key"][at] == want
         state[open_[found]] = at[found]
@@ -159,37 +180,42 @@ def log_probabilities(codes: np.ndarray, model: dict[str, np.ndarray]) -> np.nda
     return out
 
 
-def tree_scores(data: np.ndarray, words: Words, model: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 probability of each text; each distinct gram of the block is scored once."""
-    n = len(words.counts)
-    code, row = grams(data, words)
-    keyed = np.sort(code << U64(16) | row.astype(np.uint64))
-    begin, many = runs(keyed)
-    keyed = keyed[begin]
-    code, row = keyed >> U64(16), (keyed & U64(0xFFFF)).astype(np.int64)
-    first, length = runs(code)
-    return by_row(row, n, np.repeat(log_probabilities(code[first], model), length) * many)
+def tree_scores(data: np.ndarray, words: Words, model: dict[str, np.ndarray], depth: int = DEPTH) -> np.ndarray:
+    """log10 probability of each text, from a whole tree.  For tests."""
+    code, row = grams(data, words, depth)
+    return by_row(row, len(words.counts), log_probabilities(code, model))
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Its bytes by place (all first bytes, all second, ...), compressed: small or slowly growing numbers take little."""
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
+    return len(a).to_bytes(4, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def unpack(blob: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(blob[:4], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(blob[4:], n * size, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
 
 
 def score_lm(docs: DataFrame, modulus: int = 10, held_out: int = 0, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
-    model = docs.sparkSession.sparkContext.broadcast(fit_tree(docs, modulus, held_out))  # bounded by P_MIN
+    short = docs.sparkSession.sparkContext.broadcast(collected(docs, modulus, held_out, SHORT))
     dealt, parts = sh.deal(docs, shards)
     remainder = lambda ids: np.array([-1 if i is None else zlib.crc32(str(i).encode()) % modulus for i in ids.to_pylist()], np.int64)
 
     def tokens(docs_: pa.Table):
-        """Blocks, and all tokens of the shard: hash and row; the end is a token of every row."""
-        hashing, blocks, hashes, rows = Rolling(5), [], [], []
+        """All tokens of the shard: hash and row; the end is a token of every row."""
+        hashing, hashes, rows = Rolling(5), [], []
         text = sh.one(docs_, "text")
         for lo, hi, data, at in text_blocks(text, BLOCK_BYTES):
             data = LOWER[data]
             words = Words(data, at)
-            blocks.append((data, words))
             hashes.append(hashing.words(data, words))
             rows.append(lo + words.row)
         n = len(text)
-        return blocks, np.concatenate([*hashes, np.full(n, END_TOKEN, np.uint64)]), np.concatenate([*rows, np.arange(n)])
+        return np.concatenate([*hashes, np.full(n, END_TOKEN, np.uint64)]), np.concatenate([*rows, np.arange(n)])
 
     def distinct(h: np.ndarray):
         part = h % U64(parts)
@@ -198,7 +224,7 @@ def score_lm(docs: DataFrame, modulus: int = 10, held_out: int = 0, shards: int
         return order, begin, length, part[order][begin].astype(np.int64), h[order][begin]
 
     def ask(docs_: pa.Table) -> pa.Table:
-        _, h, row = tokens(docs_)
+        h, row = tokens(docs_)
         fold_ = remainder(sh.one(docs_, "doc_id"))
         learned = ((fold_ >= 0) & (fold_ != held_out))[row]
         order, begin, _, part, key = distinct(h)
@@ -215,9 +241,51 @@ def score_lm(docs: DataFrame, modulus: int = 10, held_out: int = 0, shards: int
         ends = np.cumsum(lengths)
         return sh.answers(asked.column("part")[0].as_py(), 0, shards_, lengths, [head + full[b - n : b].tobytes() for b, n in zip(ends, lengths)])
 
+    def shard_grams(docs_: pa.Table):
+        """All grams of the shard, by the part of their last SHORT + 1 context bytes and by code: order, rows, distinct ones."""
+        codes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for lo, _, data, at in text_blocks(sh.one(docs_, "text"), BLOCK_BYTES):
+            data = LOWER[data]
+            code, row = grams(data, Words(data, at), LONG)
+            codes.append(code)
+            rows.append((lo + row).astype(np.int32))
+        code, row = np.concatenate(codes), np.concatenate(rows)
+        order = np.argsort(code)
+        code, row = code[order], row[order]
+        begin, length = runs(code)
+        key = code[begin]
+        part = (mix(key >> U64(8) & U64((1 << 8 * (SHORT + 1)) - 1)) % U64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+        return row, begin, length, key, part, np.argsort(part, kind="stable")
+
+    def ask_tree(docs_: pa.Table) -> pa.Table:
+        row, begin, _, key, part, by_part = shard_grams(docs_)
+        fold_ = remainder(sh.one(docs_, "doc_id"))
+        learned = ((fold_ >= 0) & (fold_ != held_out))[row]
+        n = np.add.reduceat(learned.astype(np.uint32), begin).astype(np.uint32) if len(begin) else np.zeros(0, np.uint32)
+        key, n, at = key[by_part], n[by_part], np.searchsorted(part[by_part], np.arange(parts + 1))
+        keys = [pack(np.diff(key[a:b], prepend=U64(0))) for a, b in zip(at, at[1:])]
+        counts = [pack(n[a:b]) for a, b in zip(at, at[1:])]
+        return pa.table([pa.array(np.full(parts, docs_.column("shard")[0].as_py(), np.int32)), pa.array(np.arange(parts, dtype=np.int32)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "part", "keys", "values"])
+
+    def answer_tree(asked: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in asked.column("keys")]
+        lengths, every = np.array([len(k) for k in keys], np.int64), np.concatenate(keys)
+        order = np.argsort(every)
+        code = every[order]
+        begin, length = runs(code)
+        code = code[begin]
+        n = np.concatenate([unpack(x.as_py(), np.uint32) for x in asked.column("values")]).astype(np.int64)
+        n = np.add.reduceat(n[order], begin) if len(begin) else n
+        own = candidates(code[n > 0], n[n > 0], range(SHORT + 1, LONG + 1))
+        score = log_probabilities(code, grow(*(np.concatenate(x) for x in zip(short.value, own)), ordered=True)).astype(np.float32)
+        full = np.empty(len(every), np.float32)
+        full[order] = np.repeat(score, length)
+        ends = np.cumsum(lengths)
+        return sh.answers(asked.column("part")[0].as_py(), 1, sh.one(asked, "shard").to_numpy(zero_copy_only=False), lengths, [pack(full[b - k : b]) for b, k in zip(ends, lengths)])
+
     def finish(docs_: pa.Table, replies: pa.Table) -> pa.Table:
         ids = sh.one(docs_, "doc_id")
-        blocks, h, row = tokens(docs_)
+        h, row = tokens(docs_)
         order, begin, length, _, _ = distinct(h)
         got = [np.frombuffer(x, np.int64) for x in sh.ordered(replies, 0)]
         total, size = sum(int(x[0]) for x in got), sum(int(x[1]) for x in got)
@@ -225,11 +293,15 @@ def score_lm(docs: DataFrame, modulus: int = 10, held_out: int = 0, shards: int
         c[order] = np.repeat(np.concatenate([x[2:] for x in got]), length)
         n = len(ids)
         base = by_row(row, n, np.log10((c + 0.1) / (total + 0.1 * (size + 1))))
-        score = [tree_scores(data, words, model.value) for data, words in blocks]
+        row_, _, many, key, _, by_part = shard_grams(docs_)
+        log_p = np.empty(len(key))
+        log_p[by_part] = np.concatenate([unpack(x, np.float32) for x in sh.ordered(replies, 1)])
+        score = by_row(row_, n, np.repeat(log_p, many))
         fold_ = remainder(ids)
-        return pa.table([ids, pa.array(fold_ == held_out), pa.array(by_row(row, n)), pa.array(by_row(row, n, (c > 0).astype(float)).astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(np.concatenate(score) if score else np.zeros(0))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        return pa.table([ids, pa.array(fold_ == held_out), pa.array(by_row(row, n)), pa.array(by_row(row, n, (c > 0).astype(float)).astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return sh.meet(dealt, sh.ask(dealt, ask, answer), finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    replies = sh.ask(dealt, ask, answer).unionByName(sh.ask(dealt, ask_tree, answer_tree))
+    return sh.meet(dealt, replies, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def base_in_memory(rows: list[tuple], modulus: int = 10, held_out: int = 0) -> list[tuple]:
