@@ -2,8 +2,9 @@
 
 score = logistic(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i = 1 where the text holds a term of bucket i.
 The pairwise part is computed as (|sum v_i|^2 - sum |v_i|^2) / 2, so an insult next to a group mention can weigh more
-than the two apart.  Terms are lower-cased runs of letters and digits hashed to 2**HASH_BITS buckets; training keeps
-the buckets whose presence tells most about the label (likelihood ratio, TERMS at most) and fits them by AdaGrad.
+than the two apart.  Terms are lower-cased runs of letters and digits hashed to 2**HASH_BITS buckets; training
+fits every bucket of its texts by AdaGrad, also those that tell nothing about the label alone, as they may in a pair.
+Only the penalty differs: DECAY on terms of a large likelihood ratio; on others WEAK_DECAY over the texts they are in.
 
 Null and empty texts hold no term and get the logistic of the bias.  A null id is scored, never learned from.  Repeated
 rows are scored alike.  Without labelled rows of both classes every score is the share of label 1 (0.5 without any
@@ -24,8 +25,8 @@ from .textkit import ALNUM, LOWER, Rolling, Words, by_row, runs, text_blocks
 
 SAMPLE_ROWS = 16_000
 HASH_BITS = 20
-TERMS, LEAST_DOCS, LEAST_GAIN, FACTORS = 4096, 5, 7.5, 8  # a gain of 7.5 nats comes by chance for one term in 10,000
-EPOCHS, BATCH, RATE, DECAY = 40, 256, 0.2, 2e-5
+LEAST_DOCS, LEAST_GAIN, FACTORS = 5, 7.5, 8  # a gain of 7.5 nats comes by chance for one term in 10,000
+EPOCHS, BATCH, RATE, DECAY, WEAK_DECAY = 40, 256, 0.2, 2e-5, 20.0
 THRESHOLD = 0.7
 
 
@@ -58,8 +59,8 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def select_terms(row: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The TERMS buckets of the largest likelihood ratio among those in LEAST_DOCS texts or more; ties to the smaller bucket."""
+def strong_terms(row: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Per bucket, whether it is in LEAST_DOCS texts or more and its likelihood ratio is LEAST_GAIN or more."""
     size = 1 << HASH_BITS
     n, n1 = len(y), y.sum()
     both = np.bincount(bucket, minlength=size).astype(float)
@@ -68,22 +69,20 @@ def select_terms(row: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarr
     expected = np.array([both * n1, both * (n - n1), (n - both) * n1, (n - both) * (n - n1)]) / n
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(table > 0, table * np.log(table / expected), 0).sum(0)
-    gain[both < LEAST_DOCS] = -1
-    best = np.argsort(-gain, kind="stable")[:TERMS]
-    return np.sort(best[gain[best] >= LEAST_GAIN])
+    return (both >= LEAST_DOCS) & (gain >= LEAST_GAIN)
 
 
 def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int = 7) -> FactorizationMachine:
     """``row``, ``bucket``: distinct terms of the texts whose labels are ``y``."""
     share = float(y.mean()) if len(y) else 0.5
-    slots = np.full(1 << HASH_BITS, -1, np.int16)
+    slots = np.full(1 << HASH_BITS, -1, np.int32)
     if not len(y) or not 0 < share < 1:
         b = np.clip(share, 1e-3, 1 - 1e-3)
         return FactorizationMachine(slots, float(np.log(b / (1 - b))), np.zeros(1), np.zeros((1, 1)))
-    chosen = select_terms(row, bucket, y)
+    chosen = np.unique(bucket)
     slots[chosen] = np.arange(len(chosen))
+    decay = np.where(strong_terms(row, bucket, y)[chosen], DECAY, np.minimum(WEAK_DECAY / np.bincount(bucket)[chosen], 1.0))
     slot = slots[bucket].astype(np.int64)
-    row, slot = row[slot >= 0], slot[slot >= 0]
     order = np.argsort(row, kind="stable")
     row, slot = row[order], slot[order]
     first = np.searchsorted(row, np.arange(len(y) + 1))
@@ -97,19 +96,17 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int =
             index = np.repeat(first[docs], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             s, r, n = slot[index], np.repeat(np.arange(len(docs)), many), len(docs)
             vs = v[s]
-            sums = np.zeros((n, FACTORS))
-            np.add.at(sums, r, vs)
+            sums = np.column_stack([by_row(r, n, vs[:, k]) for k in range(FACTORS)])
             raw = bias + by_row(r, n, w[s]) + 0.5 * ((sums**2).sum(1) - by_row(r, n, (vs**2).sum(1)))
             off = 1 / (1 + np.exp(-np.clip(raw, -500, 500))) - y[docs]
             gb += (g := off.mean()) ** 2
             bias -= RATE * g / np.sqrt(gb)
             used, back = np.unique(s, return_inverse=True)
-            g = np.bincount(back, off[r], len(used)) / n + DECAY * w[used]
+            g = np.bincount(back, off[r], len(used)) / n + decay[used] * w[used]
             gw[used] += g**2
             w[used] -= RATE * g / np.sqrt(gw[used])
-            g = np.zeros((len(used), FACTORS))
-            np.add.at(g, back, off[r][:, None] * (sums[r] - vs))
-            g = g / n + DECAY * v[used]
+            pull = off[r][:, None] * (sums[r] - vs)
+            g = np.column_stack([np.bincount(back, pull[:, k], len(used)) for k in range(FACTORS)]) / n + decay[used][:, None] * v[used]
             gv[used] += g**2
             v[used] -= 0.3 * RATE * g / np.sqrt(gv[used])
     return FactorizationMachine(slots, float(bias), w, v)

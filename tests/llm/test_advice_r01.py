@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kinforge.llm import suffixtree
+from kinforge.llm import suffixtree, toxicity
 from kinforge.llm.textkit import LOWER, Words, string_buffers
 
 
@@ -25,3 +25,17 @@ def test_rare_contexts_outlive_a_large_common_part(spark):
     data = LOWER[data]
     want = suffixtree.tree_scores(data, Words(data, at), model, suffixtree.LONG)
     assert np.array([got[i] for i, _ in rows]) == pytest.approx(want, rel=1e-5)
+
+
+def test_pairs_without_marginal_gain_are_learned():
+    """With the production settings: terms that tell nothing alone decide together."""
+    rng = np.random.default_rng(2)
+    n = 3000
+    has = rng.random((n, 2)) < 0.5
+    y = (has[:, 0] ^ has[:, 1]).astype(int)
+    terms = [sorted({*rng.integers(10, 40, 3).tolist(), *(k + 1 for k in (0, 1) if has[i, k])}) for i in range(n)]
+    row, bucket = np.repeat(np.arange(n), [len(t) for t in terms]), np.concatenate(terms)
+    assert not toxicity.strong_terms(row, bucket, y)[[1, 2]].any()
+    model = toxicity.fit_machine(row, bucket, y)
+    score = model.score(row, model.slots[bucket].astype(np.int64), n)
+    assert ((score > 0.5) == y).mean() > 0.95
