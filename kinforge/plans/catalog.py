@@ -399,7 +399,7 @@ def name_jaro_winkler(t):
 @register()
 def pair_features(t):
     """All 20 features, kernels included."""
-    made = sim.with_features(t.ranked.where("rank <= 10"))
+    made = sim.with_features(t.ranked)
     return made.select("s1_id", "cid", *[F.round(f, 6).alias(f) for f in sim.FEATURES])
 
 
