@@ -27,8 +27,11 @@ def _columns(got: DataFrame, docs: DataFrame, **changed) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labels of these documents, does not reject."""
-    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), keep=True)
+    """Documents that the quality classifier, fitted on the labels of these documents, does not reject; all, if no two classes were learned."""
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
+    if len(model.classes) < 2:
+        return docs
+    scored = score_quality(docs, model, keep=True)
     return _columns(scored.where("predicted = 1"), docs)
 
 
