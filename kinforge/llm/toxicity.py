@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import fold, labelled_sample, map_batches
-from .textkit import ALNUM, LOWER, Rolling, Words, by_row, runs, text_blocks
+from .textkit import ALNUM, LOWER, Rolling, Words, by_row, runs, spans, text_blocks
 
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 8_000
 HASH_BITS = 20
 LEAST_DOCS, LEAST_GAIN, FACTORS = 5, 7.5, 8  # a gain of 7.5 nats comes by chance for one term in 10,000
-EPOCHS, BATCH, RATE, DECAY, WEAK_DECAY = 40, 256, 0.2, 2e-5, 20.0
+EPOCHS, BATCH, RATE, DECAY, WEAK_DECAY, INIT = 10, 64, 0.2, 2e-5, 20.0, 0.01
 THRESHOLD = 0.7
 
 
@@ -72,6 +72,28 @@ def strong_terms(row: np.ndarray, bucket: np.ndarray, y: np.ndarray) -> np.ndarr
     return (both >= LEAST_DOCS) & (gain >= LEAST_GAIN)
 
 
+class _Batch:
+    """A fixed batch of texts: its terms by text and, through ``by_term``, by term, so that every epoch only adds up runs."""
+
+    def __init__(self, docs: np.ndarray, first: np.ndarray, slot: np.ndarray):
+        many = np.diff(first)[docs]
+        self.docs, self.n, self.full = docs, len(docs), np.flatnonzero(many)
+        many = many[self.full]
+        self.slot = slot[spans(first[docs[self.full]], many)]
+        self.text = np.repeat(np.arange(len(many)), many)
+        self.begins = np.cumsum(many) - many
+        self.by_term = np.argsort(self.slot, kind="stable")
+        ordered = self.slot[self.by_term]
+        self.term_begins, _ = runs(ordered)
+        self.used = ordered[self.term_begins]
+
+    def per_text(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x, self.begins, axis=-1) if len(self.begins) else np.zeros((*x.shape[:-1], 0), x.dtype)
+
+    def per_term(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[..., self.by_term], self.term_begins, axis=-1)
+
+
 def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int = 7) -> FactorizationMachine:
     """``row``, ``bucket``: distinct terms of the texts whose labels are ``y``."""
     share = float(y.mean()) if len(y) else 0.5
@@ -88,28 +110,30 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int =
     first = np.searchsorted(row, np.arange(len(y) + 1))
     rng = np.random.default_rng(seed)
     size = max(len(chosen), 1)
-    bias, w, v = np.log(share / (1 - share)), np.zeros(size), rng.normal(0, 0.05, (size, FACTORS))
-    gb, gw, gv = 1e-8, np.full(size, 1e-8), np.full((size, FACTORS), 1e-8)
+    batches = [_Batch(docs, first, slot) for docs in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH))]
+    bias, w, v = float(np.log(share / (1 - share))), np.zeros(size, np.float32), rng.normal(0, INIT, (FACTORS, size)).astype(np.float32)
+    gb, gw, gv = 1e-8, np.full(size, 1e-8, np.float32), np.full((FACTORS, size), 1e-8, np.float32)
+    decay = decay.astype(np.float32)
     for _ in range(EPOCHS):
-        for docs in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
-            many = np.diff(first)[docs]
-            index = np.repeat(first[docs], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            s, r, n = slot[index], np.repeat(np.arange(len(docs)), many), len(docs)
-            vs = v[s]
-            sums = np.column_stack([by_row(r, n, vs[:, k]) for k in range(FACTORS)])
-            raw = bias + by_row(r, n, w[s]) + 0.5 * ((sums**2).sum(1) - by_row(r, n, (vs**2).sum(1)))
-            off = 1 / (1 + np.exp(-np.clip(raw, -500, 500))) - y[docs]
-            gb += (g := off.mean()) ** 2
+        for at in rng.permutation(len(batches)):
+            b = batches[at]
+            vs = v[:, b.slot]
+            sums = b.per_text(vs)
+            raw = np.full(b.n, bias, np.float32)
+            raw[b.full] += b.per_text(w[b.slot]) + 0.5 * ((sums**2).sum(0) - b.per_text((vs**2).sum(0)))
+            off = (1 / (1 + np.exp(-np.clip(raw, -80, 80))) - y[b.docs]).astype(np.float32)
+            gb += (g := float(off.mean())) ** 2
             bias -= RATE * g / np.sqrt(gb)
-            used, back = np.unique(s, return_inverse=True)
-            g = np.bincount(back, off[r], len(used)) / n + decay[used] * w[used]
-            gw[used] += g**2
-            w[used] -= RATE * g / np.sqrt(gw[used])
-            pull = off[r][:, None] * (sums[r] - vs)
-            g = np.column_stack([np.bincount(back, pull[:, k], len(used)) for k in range(FACTORS)]) / n + decay[used][:, None] * v[used]
-            gv[used] += g**2
-            v[used] -= 0.3 * RATE * g / np.sqrt(gv[used])
-    return FactorizationMachine(slots, float(bias), w, v)
+            if not len(b.used):
+                continue
+            pull, penalty = off[b.full][b.text], decay[b.used]
+            g = b.per_term(pull) / b.n + penalty * w[b.used]
+            gw[b.used] += g**2
+            w[b.used] -= RATE * g / np.sqrt(gw[b.used])
+            g = b.per_term(pull * (sums[:, b.text] - vs)) / b.n + penalty * v[:, b.used]
+            gv[:, b.used] += g**2
+            v[:, b.used] -= 0.3 * RATE * g / np.sqrt(gv[:, b.used])
+    return FactorizationMachine(slots, float(bias), w, v.T.copy())
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, rows: int = SAMPLE_ROWS) -> FactorizationMachine:

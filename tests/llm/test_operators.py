@@ -349,18 +349,28 @@ def test_factorization_machine_learns_pairs():
         terms = set(noise[i].tolist()) | ({1} if has[i, 0] else set()) | ({2} if has[i, 1] else set())
         row += [i] * len(terms)
         bucket += sorted(terms)
-    old = toxicity.LEAST_GAIN
-    toxicity.LEAST_GAIN = -1.0
-    try:
-        model = toxicity.fit_machine(np.array(row), np.array(bucket), y)
-    finally:
-        toxicity.LEAST_GAIN = old
+    model = toxicity.fit_machine(np.array(row), np.array(bucket), y)
     slots = model.slots[np.array(bucket)]
     keep = slots >= 0
     score = model.score(np.array(row)[keep], slots[keep].astype(np.int64), n)
     assert ((score > 0.5) == y).mean() > 0.95
 
 
+def test_factorization_machine_by_definition():
+    """Scores equal the sum over all pairs of terms; the gradient of one batch equals differences of the loss."""
+    rng = np.random.default_rng(5)
+    model = toxicity.FactorizationMachine(np.arange(20), -0.3, rng.normal(size=20), rng.normal(size=(20, 3)))
+    texts = [np.flatnonzero(rng.random(20) < 0.3) for _ in range(15)] + [np.zeros(0, int)]
+    row, slot = np.repeat(np.arange(16), [len(t) for t in texts]), np.concatenate(texts)
+    raw = [-0.3 + model.weights[t].sum() + sum(model.factors[i] @ model.factors[j] for i in t for j in t if i < j) for t in texts]
+    assert model.score(row, slot, 16) == pytest.approx(1 / (1 + np.exp(-np.array(raw))))
+    first = np.searchsorted(row, np.arange(17))
+    batch = toxicity._Batch(np.arange(16), first, slot)
+    x, v = rng.normal(size=len(slot)), rng.normal(size=(3, len(slot)))
+    assert batch.per_term(x) == pytest.approx(np.bincount(slot, x)[batch.used])
+    assert batch.per_text(v) == pytest.approx(np.array([np.bincount(row, k, 16)[batch.full] for k in v]))
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
