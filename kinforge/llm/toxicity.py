@@ -26,7 +26,7 @@ from .textkit import ALNUM, LOWER, Rolling, Words, by_row, runs, spans, text_blo
 SAMPLE_ROWS = 8_000
 HASH_BITS = 20
 LEAST_DOCS, LEAST_GAIN, FACTORS = 5, 7.5, 8  # a gain of 7.5 nats comes by chance for one term in 10,000
-EPOCHS, BATCH, RATE, DECAY, WEAK_DECAY, INIT = 10, 64, 0.2, 2e-5, 20.0, 0.01
+UPDATES, BATCH, RATE, DECAY, WEAK_DECAY, INIT = 1250, 64, 0.2, 2e-5, 20.0, 0.01
 THRESHOLD = 0.7
 
 
@@ -114,7 +114,7 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int =
     bias, w, v = float(np.log(share / (1 - share))), np.zeros(size, np.float32), rng.normal(0, INIT, (FACTORS, size)).astype(np.float32)
     gb, gw, gv = 1e-8, np.full(size, 1e-8, np.float32), np.full((FACTORS, size), 1e-8, np.float32)
     decay = decay.astype(np.float32)
-    for _ in range(EPOCHS):
+    for _ in range(-(-UPDATES // len(batches))):
         for at in rng.permutation(len(batches)):
             b = batches[at]
             vs = v[:, b.slot]
