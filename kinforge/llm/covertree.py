@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import input_bytes, map_batches
+from .frames import map_batches
 from .shards import one
 from .textkit import mix
 
-SHARD_BYTES, QUERY_BYTES = 2 << 20, 4 << 20
+SHARD_BYTES, QUERY_BYTES = 4 << 20, 8 << 20
 LEAF, QUERY_LEAF, BASE = 96, 16, 1.4
 
 
@@ -179,7 +179,7 @@ def _unpack(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, shard_bytes: int = SHARD_BYTES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score of each query row of ``vectors`` (vec_id, embedding) against all other rows."""
-    total = input_bytes(vectors.select("vec_id", "embedding"))
+    total = 8 * int(vectors.agg(F.sum(F.size("embedding"))).first()[0] or 0)
     shards, blocks = 1 + total // shard_bytes, 1 + total // query_bytes
     rows = vectors.select(F.col("vec_id").cast("long"), "embedding")
     grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -35,6 +35,7 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], Iterator[pa.Re
         for batch in batches:
             if batch.num_rows:
                 yield from kernel(batch)
+        relax(None)
 
     bound_batches(df.sparkSession)
     return df.mapInArrow(each, schema)
@@ -57,32 +58,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     return docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(F.col("_doc").alias("doc_id"), F.col("_text").alias("text"), F.col("_y").alias("y"))
 
 
-UNKNOWN_BYTES = 1 << 50
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of all texts, measured in one pass over that column."""
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a frame (for Parquet, of its files); where it has none, the size is measured."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < UNKNOWN_BYTES:
-        return size
-    if "text" in df.columns:
-        return int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    return 1024 * df.count()
+def relax(out):
+    """``out``, after memory that the allocators kept from finished work went back to the system: workers live on."""
+    import ctypes
 
-
-def shards_for(df: DataFrame, shard_bytes: int) -> int:
-    """A number of shards that grows with the input: each about ``shard_bytes`` of it, and at least one per shuffle partition."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-input_bytes(df) // shard_bytes))
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    return out
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.  Where that is unset, a
+    temporary folder if the whole of Spark is this one process (tests), else an error."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
+    if not (spark.conf.get("spark.master", "") or "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     import tempfile
 
-    path = f"file://{tempfile.gettempdir()}/kinforge-checkpoints"
+    path = f"file://{tempfile.mkdtemp(prefix='kinforge-')}"
     spark.conf.set("spark.checkpoint.dir", path)
     return path
 

@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shards as sh
-from .frames import fold
-from .textkit import LOWER, U64, Rolling, Words, by_row, mix, runs, spans, text_blocks
+from .frames import fold, relax
+from .textkit import LOWER, U64, Rolling, Words, by_row, mix, order_of, runs, spans, text_blocks
 
 DEPTH, LONG, SHORT, LEAST, DIVERGENCE = 5, 7, 3, 3, 8.0  # DEPTH: of the in-memory functions, if not said
 BLANK, END = 0x20, 0x0A
-BLOCK_BYTES = 2 << 20
+SHARD_BYTES, BLOCK_BYTES = 10 << 20, 1 << 20  # grams repeat more in a larger shard
 END_TOKEN = int(mix(np.array([1], np.uint64))[0])
 
 
@@ -59,9 +59,8 @@ def grams(data: np.ndarray, words: Words, depth: int = DEPTH) -> tuple[np.ndarra
     last = np.cumsum(length) - 1
     stream[place[last]] = BLANK
     stream[ends - 1] = END
-    code = np.zeros(len(stream), np.uint64)
-    for k in range(depth + 1):
-        code[k:] |= stream[: len(stream) - k].astype(np.uint64) << U64(8 * k)
+    padded = np.concatenate((np.zeros(7, np.uint8), stream))
+    code = np.ndarray(len(stream), "<u8", padded, 0, (1,)).byteswap() & U64((1 << 8 * (depth + 1)) - 1)  # eight bytes up to each
     row = np.repeat(np.arange(n), size)
     real = np.arange(len(stream)) >= np.repeat(ends - size + depth, size)
     return code[real], row[real]
@@ -89,12 +88,23 @@ def add_up(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Sorted distinct codes and the sums of their counts."""
     if not len(codes):
         return codes, counts
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     codes = codes[order]
     begin, _ = runs(codes)
     return codes[begin], np.add.reduceat(counts[order], begin)
 
 
+def add_up_runs(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of several ascending lists of distinct keys: all distinct keys, the sums of their counts, and each list's places."""
+    every = np.sort(np.concatenate(keys))
+    every = every[runs(every)[0]]
+    total, places = np.zeros(len(every), np.int64), []
+    for k, n in zip(keys, counts):
+        places.append(np.searchsorted(every, k))
+        total[places[-1]] += n
+    return every, total, places
+
+
 def candidates(codes: np.ndarray, counts: np.ndarray, depths: Iterable[int]) -> tuple[np.ndarray, ...]:
     """(depth, context, symbol, n), sorted, of the contexts of these depths (ascending) seen LEAST times or more."""
     out = [(np.zeros(0, np.int64),) * 4]
@@ -186,122 +196,116 @@ def tree_scores(data: np.ndarray, words: Words, model: dict[str, np.ndarray], de
     return by_row(row, len(words.counts), log_probabilities(code, model))
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Its bytes by place (all first bytes, all second, ...), compressed: small or slowly growing numbers take little."""
-    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
-    return len(a).to_bytes(4, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
-
-
-def unpack(blob: bytes, kind) -> np.ndarray:
-    n, size = int.from_bytes(blob[:4], "little"), np.dtype(kind).itemsize
-    raw = pa.decompress(blob[4:], n * size, "zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
-
-
 def score_lm(docs: DataFrame, modulus: int = 10, held_out: int = 0, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
     short = docs.sparkSession.sparkContext.broadcast(collected(docs, modulus, held_out, SHORT))
-    dealt, parts = sh.deal(docs, shards)
+    dealt, _, parts = sh.deal(docs, shards, SHARD_BYTES)
     remainder = lambda ids: np.array([-1 if i is None else zlib.crc32(str(i).encode()) % modulus for i in ids.to_pylist()], np.int64)
 
     def tokens(docs_: pa.Table):
-        """All tokens of the shard: hash and row; the end is a token of every row."""
+        """All tokens of the shard, ascending: order, row, and the distinct ones' places and lengths; the end is a token of every row."""
         hashing, hashes, rows = Rolling(5), [], []
         text = sh.one(docs_, "text")
-        for lo, hi, data, at in text_blocks(text, BLOCK_BYTES):
+        for lo, _, data, at in text_blocks(text, BLOCK_BYTES):
             data = LOWER[data]
             words = Words(data, at)
             hashes.append(hashing.words(data, words))
-            rows.append(lo + words.row)
+            rows.append((lo + words.row).astype(np.int32))
         n = len(text)
-        return np.concatenate([*hashes, np.full(n, END_TOKEN, np.uint64)]), np.concatenate([*rows, np.arange(n)])
+        h, row = np.concatenate([*hashes, np.full(n, END_TOKEN, np.uint64)]), np.concatenate([*rows, np.arange(n, dtype=np.int32)])
+        order = order_of(h)
+        h = h[order]
+        begin, length = runs(h)
+        return h[begin], row[order], begin, length
 
-    def distinct(h: np.ndarray):
-        part = h % U64(parts)
-        order = np.lexsort((h, part))
-        begin, length = runs(h[order])
-        return order, begin, length, part[order][begin].astype(np.int64), h[order][begin]
+    def word_part(h: np.ndarray) -> np.ndarray:
+        return (h >> U64(32)) * U64(parts) >> U64(32)  # equal ranges of the hash: sorted by hash is sorted by part
 
-    def ask(docs_: pa.Table) -> pa.Table:
-        h, row = tokens(docs_)
+    def learning(docs_: pa.Table) -> np.ndarray:
         fold_ = remainder(sh.one(docs_, "doc_id"))
-        learned = ((fold_ >= 0) & (fold_ != held_out))[row]
-        order, begin, _, part, key = distinct(h)
-        return sh.questions(docs_.column("shard")[0].as_py(), parts, part, key, np.add.reduceat(learned[order].astype(np.int64), begin).astype(np.uint32))
+        return (fold_ >= 0) & (fold_ != held_out)
+
+    def ask(docs_: pa.Table) -> pa.Table:
+        key, row, begin, _ = tokens(docs_)
+        n = np.add.reduceat(learning(docs_)[row].astype(np.int64), begin).astype(np.uint32)
+        return sh.questions(docs_.column("shard")[0].as_py(), word_part(key), lambda a, b: key[a:b].tobytes(), lambda a, b: sh.pack(n[a:b]))
+
+    def words_of_part(asked: pa.Table):
+        keys = [np.frombuffer(x.as_py(), np.uint64) for x in asked.column("keys")]
+        return add_up_runs(keys, [sh.unpacked(x.as_py(), np.uint32) for x in asked.column("values")])
 
     def answer(asked: pa.Table) -> pa.Table:
-        shards_, lengths, keys, counts = sh.unpack(asked, np.uint64, np.uint32)
-        order = np.argsort(keys, kind="stable")
-        begin, length = runs(keys[order])
-        sums = np.add.reduceat(counts[order].astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-        full = np.empty(len(keys), np.int64)
-        full[order] = np.repeat(sums, length)
-        head = np.array([sums.sum(), (sums > 0).sum()], np.int64).tobytes()  # N and V of this part
-        ends = np.cumsum(lengths)
-        return sh.answers(asked.column("part")[0].as_py(), 0, shards_, lengths, [head + full[b - n : b].tobytes() for b, n in zip(ends, lengths)])
+        _, sums, places = words_of_part(asked)
+        return sh.answers(asked, 0, [sh.pack(sums[x]) for x in places])
+
+    def totals(asked: pa.Table) -> pa.Table:
+        """N and V of one part."""
+        _, sums, _ = words_of_part(asked)
+        return pa.table({"n": [int(sums.sum())], "v": [int((sums > 0).sum())]})
 
     def shard_grams(docs_: pa.Table):
-        """All grams of the shard, by the part of their last SHORT + 1 context bytes and by code: order, rows, distinct ones."""
+        """Symbol first and then the context from its end on: so grams of one state and symbol, which score alike, are neighbours."""
         codes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for lo, _, data, at in text_blocks(sh.one(docs_, "text"), BLOCK_BYTES):
             data = LOWER[data]
             code, row = grams(data, Words(data, at), LONG)
-            codes.append(code)
+            codes.append(code.byteswap(inplace=True))
             rows.append((lo + row).astype(np.int32))
-        code, row = np.concatenate(codes), np.concatenate(rows)
-        order = np.argsort(code)
-        code, row = code[order], row[order]
+        return np.concatenate(codes), np.concatenate(rows)
+
+    def tree_part(key: np.ndarray) -> np.ndarray:
+        return (mix(key.byteswap() >> U64(8) & U64((1 << 8 * (SHORT + 1)) - 1)) % U64(parts)).astype(np.int32)
+
+    def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = np.sort(code)
         begin, length = runs(code)
-        key = code[begin]
-        part = (mix(key >> U64(8) & U64((1 << 8 * (SHORT + 1)) - 1)) % U64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
-        return row, begin, length, key, part, np.argsort(part, kind="stable")
+        return code[begin], length
 
     def ask_tree(docs_: pa.Table) -> pa.Table:
-        row, begin, _, key, part, by_part = shard_grams(docs_)
-        fold_ = remainder(sh.one(docs_, "doc_id"))
-        learned = ((fold_ >= 0) & (fold_ != held_out))[row]
-        n = np.add.reduceat(learned.astype(np.uint32), begin).astype(np.uint32) if len(begin) else np.zeros(0, np.uint32)
-        key, n, at = key[by_part], n[by_part], np.searchsorted(part[by_part], np.arange(parts + 1))
-        keys = [pack(np.diff(key[a:b], prepend=U64(0))) for a, b in zip(at, at[1:])]
-        counts = [pack(n[a:b]) for a, b in zip(at, at[1:])]
-        return pa.table([pa.array(np.full(parts, docs_.column("shard")[0].as_py(), np.int32)), pa.array(np.arange(parts, dtype=np.int32)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "part", "keys", "values"])
+        code, row = shard_grams(docs_)
+        learned = learning(docs_)[row]
+        (seen, many), (other, _) = distinct(code[learned]), distinct(code[~learned])
+        key, n, _ = add_up_runs([seen, other], [many, 0])
+        part = tree_part(key)
+        by_part = np.argsort(part, kind="stable")
+        key, n = key[by_part], n[by_part].astype(np.uint32)
+        return sh.questions(docs_.column("shard")[0].as_py(), part[by_part], lambda a, b: sh.pack(np.diff(key[a:b], prepend=U64(0))), lambda a, b: sh.pack(n[a:b]))
 
     def answer_tree(asked: pa.Table) -> pa.Table:
-        keys = [np.cumsum(unpack(x.as_py(), np.uint64), dtype=np.uint64) for x in asked.column("keys")]
-        lengths, every = np.array([len(k) for k in keys], np.int64), np.concatenate(keys)
-        order = np.argsort(every)
-        code = every[order]
-        begin, length = runs(code)
-        code = code[begin]
-        n = np.concatenate([unpack(x.as_py(), np.uint32) for x in asked.column("values")]).astype(np.int64)
-        n = np.add.reduceat(n[order], begin) if len(begin) else n
+        keys = [np.cumsum(sh.unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in asked.column("keys")]
+        key, n, places = add_up_runs(keys, [sh.unpacked(x.as_py(), np.uint32) for x in asked.column("values")])
+        code = key.byteswap()
         own = candidates(code[n > 0], n[n > 0], range(SHORT + 1, LONG + 1))
         score = log_probabilities(code, grow(*(np.concatenate(x) for x in zip(short.value, own)), ordered=True)).astype(np.float32)
-        full = np.empty(len(every), np.float32)
-        full[order] = np.repeat(score, length)
-        ends = np.cumsum(lengths)
-        return sh.answers(asked.column("part")[0].as_py(), 1, sh.one(asked, "shard").to_numpy(zero_copy_only=False), lengths, [pack(full[b - k : b]) for b, k in zip(ends, lengths)])
+        return sh.answers(asked, 1, [sh.pack(score[x]) for x in places])
 
     def finish(docs_: pa.Table, replies: pa.Table) -> pa.Table:
         ids = sh.one(docs_, "doc_id")
-        h, row = tokens(docs_)
-        order, begin, length, _, _ = distinct(h)
-        got = [np.frombuffer(x, np.int64) for x in sh.ordered(replies, 0)]
-        total, size = sum(int(x[0]) for x in got), sum(int(x[1]) for x in got)
-        c = np.empty(len(h), np.int64)
-        c[order] = np.repeat(np.concatenate([x[2:] for x in got]), length)
         n = len(ids)
-        base = by_row(row, n, np.log10((c + 0.1) / (total + 0.1 * (size + 1))))
-        row_, _, many, key, _, by_part = shard_grams(docs_)
-        log_p = np.empty(len(key))
-        log_p[by_part] = np.concatenate([unpack(x, np.float32) for x in sh.ordered(replies, 1)])
-        score = by_row(row_, n, np.repeat(log_p, many))
+        _, row, _, length = tokens(docs_)
+        c = np.repeat(np.concatenate([sh.unpacked(x, np.int64) for x in sh.ordered(replies, 0)]), length)
+        counts, known, n_tokens = by_row(row, n, np.log10(c + 0.1)), by_row(row, n, (c > 0).astype(float)).astype(np.int64), by_row(row, n)
+        code, row = shard_grams(docs_)
+        order = order_of(mix(code.copy()))  # equal grams together
+        code, row = code[order], row[order]
+        begin, length = runs(code)
+        code = code[begin]
+        place = np.argsort(code)
+        asked_as = place[np.argsort(tree_part(code[place]), kind="stable")]
+        log_p = np.empty(len(code))
+        log_p[asked_as] = np.concatenate([sh.unpacked(x, np.float32) for x in sh.ordered(replies, 1)])
+        score = by_row(row, n, np.repeat(log_p, length))
         fold_ = remainder(ids)
-        return pa.table([ids, pa.array(fold_ == held_out), pa.array(by_row(row, n)), pa.array(by_row(row, n, (c > 0).astype(float)).astype(np.int64)), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    replies = sh.ask(dealt, ask, answer).unionByName(sh.ask(dealt, ask_tree, answer_tree))
-    return sh.meet(dealt, replies, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        return pa.table([ids, pa.array(fold_ == held_out), pa.array(n_tokens), pa.array(known), pa.array(counts), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score"])
+
+    asked = dealt.groupBy("shard").applyInArrow(lambda docs_: relax(ask(docs_)), sh.QUESTION)
+    replies = sh.answer(asked, answer).unionByName(sh.ask(dealt, ask_tree, answer_tree))
+    scored = sh.meet(dealt, replies, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
+    corpus = asked.groupBy("part").applyInArrow(totals, "n long, v long").agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).alias("t"))
+    scored = scored.withColumn("t", corpus.scalar())
+    base = F.col("log_counts") - F.col("n_tokens") * F.log10(F.col("t.n") + 0.1 * (F.col("t.v") + 1))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.col("t.n").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def base_in_memory(rows: list[tuple], modulus: int = 10, held_out: int = 0) -> list[tuple]:

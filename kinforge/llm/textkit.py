@@ -181,5 +181,30 @@ def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(ordered)))
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """Stable argsort of 64-bit hashes, by one plain sort of their leading bits with the place in the others.
+
+    Runs that agree in the leading bits alone are put in order apart; keys that are no hashes are better off with argsort.
+    """
+    n = len(keys)
+    bits = U64(max(n - 1, 1).bit_length())
+    if n < 1024:
+        return np.argsort(keys, kind="stable")
+    packed = keys >> bits << bits
+    packed |= np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & (U64(1) << bits) - U64(1)).astype(np.int64)
+    got = keys[order]
+    wrong = np.flatnonzero(got[1:] < got[:-1])
+    if len(wrong):
+        head = packed >> bits
+        run = np.cumsum(np.concatenate(([0], head[1:] != head[:-1])))
+        mixed = np.zeros(int(run[-1]) + 1, bool)
+        mixed[run[wrong]] = True
+        some = np.flatnonzero(mixed[run])
+        order[some] = order[some][np.lexsort((got[some], run[some]))]
+    return order
+
+
 def by_row(row: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(row, weights, n)[:n] if len(row) else np.zeros(n, np.int64 if weights is None else np.float64)
