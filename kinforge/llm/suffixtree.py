@@ -37,7 +37,7 @@ from .textkit import LOWER, U64, Rolling, Words, by_row, mix, order_of, runs, sp
 
 DEPTH, LONG, SHORT, LEAST, DIVERGENCE = 5, 7, 3, 3, 8.0  # DEPTH: of the in-memory functions, if not said
 BLANK, END = 0x20, 0x0A
-SHARD_BYTES, BLOCK_BYTES = 10 << 20, 1 << 20  # grams repeat more in a larger shard
+SHARD_BYTES, BLOCK_BYTES, SYMBOLS = 10 << 20, 1 << 20, 2 << 20  # grams repeat more in a larger shard
 END_TOKEN = int(mix(np.array([1], np.uint64))[0])
 
 
@@ -196,6 +196,14 @@ def tree_scores(data: np.ndarray, words: Words, model: dict[str, np.ndarray], de
     return by_row(row, len(words.counts), log_probabilities(code, model))
 
 
+def differences(key: np.ndarray) -> bytes:
+    return sh.pack(np.diff(key, prepend=U64(0)))
+
+
+def from_differences(blob: bytes) -> np.ndarray:
+    return np.cumsum(sh.unpacked(blob, np.uint64), dtype=np.uint64)
+
+
 def score_lm(docs: DataFrame, modulus: int = 10, held_out: int = 0, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     docs = docs.select("doc_id", "text")
@@ -229,10 +237,10 @@ def score_lm(docs: DataFrame, modulus: int = 10, held_out: int = 0, shards: int
     def ask(docs_: pa.Table) -> pa.Table:
         key, row, begin, _ = tokens(docs_)
         n = np.add.reduceat(learning(docs_)[row].astype(np.int64), begin).astype(np.uint32)
-        return sh.questions(docs_.column("shard")[0].as_py(), word_part(key), lambda a, b: key[a:b].tobytes(), lambda a, b: sh.pack(n[a:b]))
+        return sh.questions(docs_.column("shard")[0].as_py(), word_part(key), lambda a, b: differences(key[a:b]), lambda a, b: sh.pack(n[a:b]))
 
     def words_of_part(asked: pa.Table):
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in asked.column("keys")]
+        keys = [from_differences(x.as_py()) for x in asked.column("keys")]
         return add_up_runs(keys, [sh.unpacked(x.as_py(), np.uint32) for x in asked.column("values")])
 
     def answer(asked: pa.Table) -> pa.Table:
@@ -258,26 +266,29 @@ def score_lm(docs: DataFrame, modulus: int = 10, held_out: int = 0, shards: int
         return (mix(key.byteswap() >> U64(8) & U64((1 << 8 * (SHORT + 1)) - 1)) % U64(parts)).astype(np.int32)
 
     def distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        code = np.sort(code)
+        code.sort()
         begin, length = runs(code)
         return code[begin], length
 
     def ask_tree(docs_: pa.Table) -> pa.Table:
         code, row = shard_grams(docs_)
         learned = learning(docs_)[row]
-        (seen, many), (other, _) = distinct(code[learned]), distinct(code[~learned])
+        seen, other = code[learned], code[~learned]
+        del code, row, learned  # a shard's arrays are large
+        (seen, many), (other, _) = distinct(seen), distinct(other)
         key, n, _ = add_up_runs([seen, other], [many, 0])
         part = tree_part(key)
         by_part = np.argsort(part, kind="stable")
         key, n = key[by_part], n[by_part].astype(np.uint32)
-        return sh.questions(docs_.column("shard")[0].as_py(), part[by_part], lambda a, b: sh.pack(np.diff(key[a:b], prepend=U64(0))), lambda a, b: sh.pack(n[a:b]))
+        return sh.questions(docs_.column("shard")[0].as_py(), part[by_part], lambda a, b: differences(key[a:b]), lambda a, b: sh.pack(n[a:b]))
 
     def answer_tree(asked: pa.Table) -> pa.Table:
-        keys = [np.cumsum(sh.unpacked(x.as_py(), np.uint64), dtype=np.uint64) for x in asked.column("keys")]
+        keys = [from_differences(x.as_py()) for x in asked.column("keys")]
         key, n, places = add_up_runs(keys, [sh.unpacked(x.as_py(), np.uint32) for x in asked.column("values")])
         code = key.byteswap()
         own = candidates(code[n > 0], n[n > 0], range(SHORT + 1, LONG + 1))
         score = log_probabilities(code, grow(*(np.concatenate(x) for x in zip(short.value, own)), ordered=True)).astype(np.float32)
+        score = (score.view(np.uint32) + np.uint32(0x80) & np.uint32(0xFFFFFF00)).view(np.float32)  # to one part in 65,536, which packs better
         return sh.answers(asked, 1, [sh.pack(score[x]) for x in places])
 
     def finish(docs_: pa.Table, replies: pa.Table) -> pa.Table:
@@ -287,15 +298,20 @@ def score_lm(docs: DataFrame, modulus: int = 10, held_out: int = 0, shards: int
         c = np.repeat(np.concatenate([sh.unpacked(x, np.int64) for x in sh.ordered(replies, 0)]), length)
         counts, known, n_tokens = by_row(row, n, np.log10(c + 0.1)), by_row(row, n, (c > 0).astype(float)).astype(np.int64), by_row(row, n)
         code, row = shard_grams(docs_)
-        order = order_of(mix(code.copy()))  # equal grams together
-        code, row = code[order], row[order]
-        begin, length = runs(code)
-        code = code[begin]
-        place = np.argsort(code)
-        asked_as = place[np.argsort(tree_part(code[place]), kind="stable")]
-        log_p = np.empty(len(code))
-        log_p[asked_as] = np.concatenate([sh.unpacked(x, np.float32) for x in sh.ordered(replies, 1)])
-        score = by_row(row, n, np.repeat(log_p, length))
+        key, _ = distinct(code.copy())
+        log_p = np.empty(len(key), np.float32)
+        log_p[np.argsort(tree_part(key), kind="stable")] = np.concatenate([sh.unpacked(x, np.float32) for x in sh.ordered(replies, 1)])
+        score = np.zeros(n)
+        for a in range(0, len(code), SYMBOLS):
+            some, its = code[a : a + SYMBOLS], row[a : a + SYMBOLS]
+            order = order_of(mix(some.copy()))  # equal grams together
+            some, its = some[order], its[order]
+            begin, length = runs(some)
+            one = some[begin]
+            order = np.argsort(one)
+            value = np.empty(len(one))
+            value[order] = log_p[np.searchsorted(key, one[order])]
+            score += by_row(its, n, np.repeat(value, length))
         fold_ = remainder(ids)
         return pa.table([ids, pa.array(fold_ == held_out), pa.array(n_tokens), pa.array(known), pa.array(counts), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score"])
 
