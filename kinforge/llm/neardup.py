@@ -4,7 +4,7 @@ A document's set holds its distinct five-word shingles over lower-cased words; f
 words it is empty and linked with nothing.  Documents with 100 * |A and B| >= 75 * |A or B| are linked.
 
 Equal sets are one class from the start, so copies never meet as pairs.  BANDS x ROWS MinHash values give each class
-BANDS bucket keys (a pair at similarity 0.75 shares none with probability 5e-6).  The MinHash samples are also folded
+BANDS bucket keys (a pair at similarity exactly 0.75 shares none with probability 1.2e-8, at 0.8 with 2e-11).  The MinHash samples are also folded
 into a parity bitmap, the odd sketch; the population count of two bitmaps' XOR estimates high similarities, and pairs
 estimated far below the threshold (more than six standard errors) are not verified.
 
@@ -12,8 +12,8 @@ Pairs are formed as stars: in every bucket one hub with each other member.  Memb
 component than some bucket-mate meet further hubs, picked anew each round.  What remains after STAR_ROUNDS goes through
 an exact set join across components (``prefix_pairs``): two sets at the threshold share one of the rarest quarter of
 their shingles at positions that leave enough overlap.  Pairs inside one component never meet.  So a group of thousands
-of near copies costs as many pairs as members, texts that merely share a passage cost none, and no link between
-different texts is left out.
+of near copies costs as many pairs as members, texts that merely share a passage cost none, and of the pairs that share
+a band no link between different texts is left out but for the sketch's error.
 
 Rows with a null id take no part (component null, kept).  Rows that repeat an id are one document: its texts' links
 join.  Only ``doc_id`` and ``text`` are read; other columns may have any name.
@@ -31,7 +31,7 @@ from .frames import map_batches, materialize, narrow, settle
 from .textkit import LOWER, U64, Rolling, Words, mix, spans, string_buffers, text_blocks
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS, SKETCH_BITS = 32, 4, 512
+BANDS, ROWS, SKETCH_BITS = 48, 4, 512
 LEAST_ESTIMATE = 0.5
 STAR_ROUNDS = 2
 _rng = np.random.default_rng(6)
@@ -165,17 +165,17 @@ def prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
     |x| - ceil(0.75 |x|) + 1 places of each, and at their first shared one, at places i and j, the rest suffices:
     min(|x| - i, |y| - j) + 1 >= 3/7 (|x| + |y|).
     """
-    own = classes.withColumn("set_id", F.xxhash64("class"))
+    own = classes.withColumnRenamed("class", "set_id")
 
     def kernel(batch: pa.RecordBatch):
         blobs = batch.column(1)
         for lo in range(0, batch.num_rows, 64):
             got = [np.frombuffer(blobs[i].as_py(), np.int64) for i in range(lo, min(lo + 64, batch.num_rows))]
             n = np.array([len(x) for x in got])
-            ids = batch.column(0).slice(lo, len(got)).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), pa.array(np.repeat(ids, n)), pa.array(np.repeat(n, n).astype(np.int32))], names=["shingle", "set_id", "n"])
+            ids = batch.column(0).slice(lo, len(got)).take(pa.array(np.repeat(np.arange(len(got)), n)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got)), ids, pa.array(np.repeat(n, n).astype(np.int32))], names=["shingle", "set_id", "n"])
 
-    elements = map_batches(sets.join(own.select("class", "set_id"), "class").select("set_id", "members"), kernel, "shingle long, set_id long, n int")
+    elements = map_batches(sets.withColumnRenamed("class", "set_id").join(own.select("set_id"), "set_id").select("set_id", "members"), kernel, "shingle long, set_id binary, n int")
     several = elements.groupBy("shingle").agg(F.count("*").alias("f")).where("f > 1")
     ranked = elements.join(several, "shingle").withColumn("k", F.row_number().over(Window.partitionBy("set_id").orderBy("f", "shingle"))).withColumn("m", F.count("*").over(Window.partitionBy("set_id")))
     place = ranked.withColumn("i", F.col("n") - F.col("m") + F.col("k"))  # the unshared come first
@@ -185,8 +185,8 @@ def prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
     x = prefix.join(own.select("set_id", "component"), "set_id")
     y = x.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("set_id", "n", "rest", "component")])
     near = x.join(y, "shingle").where("component < y_component and 7 * least(rest, y_rest) >= 3 * (n + y_n)").select("set_id", "y_set_id").distinct()
-    a = own.select("set_id", F.col("rep").alias("a"), F.col("class").alias("a_class"))
-    b = own.select(F.col("set_id").alias("y_set_id"), F.col("rep").alias("b"), F.col("class").alias("b_class"))
+    a = own.select("set_id", F.col("rep").alias("a"), F.col("set_id").alias("a_class"))
+    b = own.select(F.col("set_id").alias("y_set_id"), F.col("rep").alias("b"), F.col("set_id").alias("b_class"))
     return near.join(a, "set_id").join(b, "y_set_id").select("a", "b", "a_class", "b_class")
 
 
