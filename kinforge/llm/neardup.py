@@ -4,7 +4,7 @@ A document's set holds its distinct five-word shingles over lower-cased words; f
 words it is empty and linked with nothing.  Documents with 100 * |A and B| >= 75 * |A or B| are linked.
 
 Equal sets are one class from the start, so copies never meet as pairs.  BANDS x ROWS MinHash values give each class
-BANDS bucket keys (a pair at similarity exactly 0.75 shares none with probability 1.2e-8, at 0.8 with 2e-11).  The MinHash samples are also folded
+BANDS bucket keys (a pair at similarity exactly 0.75 shares none with probability 2.5e-7, at 0.8 with 7e-10).  The MinHash samples are also folded
 into a parity bitmap, the odd sketch; the population count of two bitmaps' XOR estimates high similarities, and pairs
 estimated far below the threshold (more than six standard errors) are not verified.
 
@@ -31,7 +31,7 @@ from .frames import map_batches, materialize, narrow, settle
 from .textkit import LOWER, U64, Rolling, Words, mix, spans, string_buffers, text_blocks
 
 SHINGLE, PERCENT = 5, 75
-BANDS, ROWS, SKETCH_BITS = 48, 4, 512
+BANDS, ROWS, SKETCH_BITS = 40, 4, 512
 LEAST_ESTIMATE = 0.5
 STAR_ROUNDS = 2
 _rng = np.random.default_rng(6)
@@ -195,9 +195,10 @@ def near_duplicates(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFram
     signed, n = settle(signatures(docs))
     real = signed.where(F.col("doc_id").isNotNull() & F.col("class").isNotNull())
     classes, n_classes = settle(real.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")), n)
-    members = classes.select("class", "rep", F.explode("bands").alias("bucket"))
-    crowded = narrow(members.groupBy("bucket").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least <> most").select("bucket"), n_classes * BANDS)
-    members, m = settle(members.join(crowded, "bucket"), n_classes * BANDS)  # of buckets that hold two classes or more
+    places = classes.select("rep", F.explode("bands").alias("bucket"))  # of narrow rows; the classes of one id are linked anyway
+    crowded = narrow(places.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select("bucket"), n_classes * BANDS)
+    places, m = settle(places.join(crowded, "bucket"), n_classes * BANDS)  # of buckets that hold two classes or more
+    members = narrow(places.join(classes.select("class", "rep"), "rep"), m).select("class", "rep", "bucket")
     wanted = narrow(members.select("class", "rep").distinct(), n_classes)
     sketches, n_wanted = settle(classes.join(wanted.select("class"), "class", "left_semi").select("class", "rep", "sketch"), n_classes)
     sets = materialize(full_sets(docs, sketches.select("class", "rep")))
@@ -207,7 +208,8 @@ def near_duplicates(docs: DataFrame, star_rounds: int = STAR_ROUNDS) -> DataFram
     links, n_links = settle(owned.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), n)  # the texts of a repeated id
     done, found = None, None
     for k in range(star_rounds + 1):
-        left, size = (members, m) if found is None else settle(_unsettled(members, m, found), m)
+        left, size = settle(members, m) if found is None else settle(_unsettled(members, m, found), m)
+        members = left if found is None else members
         if not size:
             break
         if k < star_rounds:
