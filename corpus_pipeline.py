@@ -41,14 +41,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the smallest id, of each group of near duplicates.
 
-    Documents without words and rows with a null id are in no group and stay.  Rows that repeat an id are one document;
-    of those that repeat its text too, one stays.
+    Documents without words and rows with a null id are in no group and stay.  Rows that repeat an id are one document and
+    stay or go together.
     """
-    groups = near_duplicates(docs)
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(groups.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionAll(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    return docs.join(near_duplicates(docs).where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
