@@ -288,6 +288,24 @@ def test_licences(spark, none):
     assert licences.scan_licences(none.withColumn("path", F.lit("x"))).count() == 0
 
 
+def test_licence_notices(spark):
+    """Every template, wrapped as usual in a comment or a licence file, is known as what it is; and inheritance against brute force."""
+    import textwrap
+
+    rows, want = [], {}
+    for k, (name, text) in enumerate(licences.TEMPLATES):
+        lines = textwrap.wrap(text, 60)
+        forms = {
+            f"p{k}/a.c": "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */\nint main() { return 0; }\n", f"p{k}/b.py": "# Copyright 2020 A Person\n#\n" + "\n".join(f"# {x}" for x in lines) + "\n\nimport os\n",
+            f"p{k}/sub/c.txt": "some plain words that say nothing", f"p{k}/LICENSE": "\n".join(lines) + "\n",
+        }
+        rows += list(forms.items())
+        want |= {path: name for path in forms}
+    found = {r["path"]: r for r in licences.scan_licences(spark.createDataFrame(rows, "path string, text string").repartition(3)).collect()}
+    assert {p: r["licence"] for p, r in found.items()} == want
+    assert sorted(licences.licences_in_memory(rows)) == sorted((r["path"], r["own_licence"], r["licence"], r["inherited_from"]) for r in found.values())
+
+
 def test_classifiers_on_odd_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(i, i % 2, None if i == 3 else i % 3 // 2) for i in range(1, 20)] + [(None, 1, 1), (7, 0, 1)], "doc_id long, quality int, toxic int")
     for function in (quality.quality, toxicity.toxicity):
