@@ -11,8 +11,8 @@ from .text import extract_numbers, phonetic_skeleton, tokens
 #: The order is a contract: models read the features as a vector.
 FEATURES = (
     "name_ratio", "name_partial_ratio", "name_token_sort", "name_token_set", "name_jw",
-    "addr_ratio", "addr_partial_ratio", "addr_token_sort", "addr_token_set",
-    "name_jaccard", "addr_jaccard", "name_skeleton_ratio", "first_token_match", "name_len_diff", "addr_len_diff",
+    "name_jaccard", "name_skeleton_ratio", "first_token_match", "name_len_diff",
+    "addr_ratio", "addr_partial_ratio", "addr_token_sort", "addr_token_set", "addr_jaccard", "addr_len_diff",
     "is_source2", "num_exact_match", "num_jaccard", "num_overlap_count", "num_conflict",
 )
 
@@ -90,5 +90,6 @@ def with_features(pairs: DataFrame, kernels: bool = True) -> DataFrame:
     addresses = address_kernels(F.col("s1_norm_addr"), F.col("cand_norm_addr"))
     skeletons = set_kernel(name_skeleton(F.col("s1_norm_name")), name_skeleton(F.col("cand_norm_name")))
     scored = pairs.withColumns({"_n": names, "_a": addresses, "_s": skeletons})
-    made = native_features() | {f: F.col("_n")[i] for i, f in enumerate(FEATURES[:5])} | {f: F.col("_a")[i] for i, f in enumerate(FEATURES[5:9])} | {"name_skeleton_ratio": F.col("_s")[0]}
+    kinds = ("ratio", "partial_ratio", "token_sort", "token_set", "jw")
+    made = native_features() | {f"name_{k}": F.col("_n")[i] for i, k in enumerate(kinds)} | {f"addr_{k}": F.col("_a")[i] for i, k in enumerate(kinds[:4])} | {"name_skeleton_ratio": F.col("_s")[0]}
     return scored.select(*pairs.columns, *[made[f].alias(f) for f in FEATURES])

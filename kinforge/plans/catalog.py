@@ -87,8 +87,8 @@ class Tables:
 
     @cached_property
     def training(self) -> DataFrame:
-        """Labelled pairs with plain features and the part of the split; the models read them many times."""
-        pairs = tr.training_pairs(self.ranked, self.truth, self.s1, self.index.candidates, kernels=False)
+        """Labelled pairs with all features and the part of the split; the models read them many times."""
+        pairs = tr.training_pairs(self.ranked, self.truth, self.s1, self.index.candidates)
         return ix.kept(pairs.join(sp.split_entities(self.s1, "s1_id"), "s1_id"), self.config)
 
     @cached_property
@@ -122,9 +122,9 @@ def register(oracle: str | None = None, cap: int = 150):
 # --- scans, projections, scalar functions ---------------------------------------------------------------------------
 
 
-@register(sql("SELECT entity_id, trim(business_name) AS business_name, trim(business_address) AS business_address, country FROM cands WHERE country = 'India'"))
+@register(sql("SELECT entity_id, trim(business_name) AS business_name, trim(business_address) AS business_address, country FROM cands"))
 def scan_entities(t):
-    return t.cand_raw.where("country = 'India'").select("entity_id", F.trim("business_name").alias("business_name"), F.trim("business_address").alias("business_address"), "country")
+    return t.cand_raw.select("entity_id", F.trim("business_name").alias("business_name"), F.trim("business_address").alias("business_address"), "country")
 
 
 @register(sql("SELECT * FROM biz_s2 UNION ALL SELECT * FROM biz_s3"))
@@ -188,14 +188,14 @@ def normalize_address(t):
     return e.select("entity_id", tx.normalize_address(F.col("business_address")).alias("norm_addr"))
 
 
-@register("SELECT doc_id, strip_accents(substr(text, 1, 200)) AS folded FROM documents")
+@register("SELECT doc_id, strip_accents(text) AS folded FROM documents")
 def strip_accents(t):
-    return t.raw("documents").select("doc_id", tx.strip_latin_accents(F.substring("text", 1, 200)).alias("folded"))
+    return t.raw("documents").select("doc_id", F.when(tx.needs_unicode(F.col("text")), tx.strip_accents(F.col("text"))).otherwise(tx.strip_latin_accents(F.col("text"))).alias("folded"))
 
 
-@register(f"SELECT doc_id, array_to_string({oq.numbers('lower(text)')}, ',') AS numbers FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@register(r"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}\p{Pc}]+'), lambda x: regexp_full_match(x, '\p{Nd}+')))), ',') AS numbers FROM documents")
 def extract_numbers(t):
-    return t.raw("documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.array_join(tx.extract_numbers(F.lower("text")), ",").alias("numbers"))
+    return t.raw("documents").select("doc_id", F.array_join(tx.extract_numbers(F.lower("text")), ",").alias("numbers"))
 
 
 @register(sql(f"SELECT entity_id, array_to_string({oq.distinctive('norm_name')}, ',') AS distinctive FROM norm"))
@@ -271,16 +271,26 @@ def blocking_keys(t):
     return ky.blocking_keys(t.everyone, "entity_id", t.index.df).select("entity_id", "country", "key", "weight")
 
 
-@register(sql("SELECT country, key, n FROM hot", cap=50), cap=50)
+@register(sql("SELECT country, key, n FROM hot"))
 def hot_keys(t):
     return ix.hot_keys(t.postings, t.config.posting_cap)
 
 
-@register(sql("SELECT cid, country, key FROM post", cap=50), cap=50)
+@register(sql("SELECT country, key, n FROM hot", cap=50), cap=50)
+def hot_keys_low_cap(t):
+    return ix.hot_keys(t.postings, t.config.posting_cap)
+
+
+@register(sql("SELECT cid, country, key FROM post"))
 def cap_postings(t):
     return t.index.postings.select("cid", "country", "key")
 
 
+@register(sql("SELECT cid, country, key FROM post", cap=50), cap=50)
+def cap_postings_low_cap(t):
+    return t.index.postings.select("cid", "country", "key")
+
+
 @register(sql("SELECT *, round(n_postings / n_candidates, 6) AS keys_per_candidate FROM (SELECT (SELECT count(*) FROM nc) AS n_candidates, (SELECT count(*) FROM addr_df) AS n_tokens, (SELECT count(*) FROM post) AS n_postings)"))
 def index_stats(t):
     return ix.index_stats(t.index)
@@ -390,10 +400,9 @@ def features_fallback(t):
     return t.features.select("s1_id", "cid", "name_ratio", "name_partial_ratio", F.round("name_token_set", 6).alias("name_token_set"), "addr_ratio", "addr_partial_ratio", F.round("addr_token_sort", 6).alias("addr_token_sort"))
 
 
-@register(sql("SELECT s1_id, cid, round(jaro_winkler_similarity(sn, cn), 6) AS name_jw FROM att WHERE rank <= 5 AND sn <> '' AND cn <> ''"))
+@register(sql("SELECT s1_id, cid, CASE WHEN sn = cn THEN 1.0 WHEN sn = '' OR cn = '' THEN 0.0 ELSE round(jaro_winkler_similarity(sn, cn), 6) END AS name_jw FROM att"))
 def name_jaro_winkler(t):
-    few = t.ranked.where("rank <= 5 and s1_norm_name <> '' and cand_norm_name <> ''")
-    return few.select("s1_id", "cid", F.round(kn.pair_function(kn.jaro_winkler)(F.col("s1_norm_name"), F.col("cand_norm_name"))[0], 6).alias("name_jw"))
+    return t.ranked.select("s1_id", "cid", F.round(kn.pair_function(kn.jaro_winkler)(F.col("s1_norm_name"), F.col("cand_norm_name"))[0], 6).alias("name_jw"))
 
 
 @register()
@@ -502,8 +511,14 @@ _reasons = """SELECT t.s1_id, t.cid, s.country, CASE
  FROM biz_truth t JOIN n1 s USING (s1_id) LEFT JOIN nc c USING (cid)"""
 
 
-@register(sql(_reasons, cap=2, k=3), cap=2)
+@register(sql(_reasons))
 def blocking_miss_reasons(t):
+    return ev.miss_reasons(t.truth, t.s1, t.index, t.postings, t.ranked)
+
+
+@register(sql(_reasons, cap=2, k=3), cap=2)
+def blocking_miss_reasons_low_cap(t):
+    """With a cap and a top that miss pairs, so that every reason occurs."""
     few = rt.best(rt.pool(t.s1, t.index), ["s1_id"], [F.desc("weight"), "cid"], 3)
     return ev.miss_reasons(t.truth, t.s1, t.index, t.postings, few)
 
@@ -540,9 +555,18 @@ def label_pairs(t):
     return tr.label_pairs(t.ranked.select("s1_id", "cid", "rank"), t.truth)
 
 
-@register(sql("SELECT t.s1_id, t.cid, c.norm_name AS cand_norm_name FROM biz_truth t JOIN nc c USING (cid) WHERE (t.s1_id, t.cid) NOT IN (SELECT (s1_id, cid) FROM top_)", cap=2, k=3), cap=2)
+_missed = "SELECT t.s1_id, t.cid, c.norm_name AS cand_norm_name FROM biz_truth t JOIN nc c USING (cid) WHERE (t.s1_id, t.cid) NOT IN (SELECT (s1_id, cid) FROM top_)"
+
+
+@register(sql(_missed))
 def missed_positives(t):
-    few = rt.best(rt.pool(t.s1, t.index), ["s1_id"], [F.desc("weight"), "cid"], 3)
+    return tr.missed_positives(t.truth, t.ranked, t.s1, t.index.candidates).select("s1_id", "cid", "cand_norm_name")
+
+
+@register(sql(_missed, k=1))
+def missed_positives_top1(t):
+    """What the best candidate of each record alone would miss."""
+    few = rt.best(rt.pool(t.s1, t.index), ["s1_id"], [F.desc("weight"), "cid"], 1)
     return tr.missed_positives(t.truth, few, t.s1, t.index.candidates).select("s1_id", "cid", "cand_norm_name")
 
 
@@ -579,7 +603,8 @@ def positive_sample(t):
 
 @register()
 def screener_scores(t):
-    """Gradient-boosted screener: fitted on the training split's pairs, applied to the validation split's."""
+    """Gradient-boosted screener: fitted on the training split's pairs, applied to the validation split's.  Fewer and
+    smaller trees than ``fit_screener`` defaults to, as the README says."""
     pairs = t.training
     model = tr.fit_screener(pairs.where("part = 'train'"), trees=10, depth=4)
     return tr.Cascade(model).score(pairs.where("part = 'val'")).select("s1_id", "cid", "label", "prob")
@@ -587,7 +612,7 @@ def screener_scores(t):
 
 @register()
 def cascade_scores(t):
-    """Screener and specialist, blended inside the band."""
+    """Screener and specialist, blended inside the band; both smaller than the operators' defaults, as the README says."""
     pairs = t.training
     train = pairs.where("part = 'train'")
     cascade = tr.Cascade(tr.fit_screener(train, trees=5, depth=3), tr.fit_specialist(train, hidden=(16,), iterations=15))
