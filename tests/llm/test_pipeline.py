@@ -48,3 +48,10 @@ def test_odd_documents(spark, small):
     for frame in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, frame, small).count() <= len(rows)
+
+
+def test_clashing_columns(spark, small):
+    docs = spark.createDataFrame([(1, "some text", "a", "b")], "doc_id long, text string, ids string, piece_round_trip string")
+    got = corpus_pipeline.sentencepiece(spark, docs, small)
+    assert got.columns == ["doc_id", "text", "ids", "piece_round_trip", "piece_ids", "round_trip"]
+    assert got.first()["round_trip"] and got.first()["ids"] == "a"
