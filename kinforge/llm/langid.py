@@ -6,7 +6,7 @@ that switches language gets different labels along the way; a text's language is
 over its words that hold a letter, and that mean is the score.
 
 Training sequences are spliced from runs of words of different labelled texts, so that transitions between languages
-are seen.  A null text or one without any letter is ``und`` with score 0.  Ties go to the smaller language name.  Null
+are seen; of a long text the runs come from stretches at random places all over it.  A null text or one without any letter is ``und`` with score 0.  Ties go to the smaller language name.  Null
 ids are labelled, never learned from.  Repeated rows get equal results.  Without any labelled text everything is
 ``und``.  Only ``doc_id``, ``text`` and (in training) ``lang`` are read; other columns may have any name.
 """
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fold, map_batches
+from .frames import fold, map_batches, one_each, smallest_hashes
 from .textkit import LETTER_ASCII, LOWER, NOT_SPACE, Rolling, Words, by_row, byte_class, mix, runs, spans, string_buffers, text_blocks
 
-SAMPLE_ROWS = 3_000
+SAMPLE_ROWS, SAMPLE_WORDS, LONGEST = 3_000, 480, 256  # learned from: documents, words of each, bytes of a word
 HASH_BITS = 16
 SEQUENCES, SEQUENCE_WORDS, RUN_WORDS = 4_000, 48, 12
 EPOCHS, BATCH, RATE, DECAY = 6, 200, 0.2, 1e-5
@@ -169,10 +169,28 @@ def fit_crf(texts: list[str], langs: list[str], seed: int = 5) -> WordCRF:
 
 
 def fit_langid(docs: DataFrame, modulus: int = 3, held_out: int = 1, rows: int = SAMPLE_ROWS) -> WordCRF:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of the id."""
+    """Fit on at most ``rows`` labelled documents outside the held-out fold, chosen by a hash of the id; an id counts once.
+
+    The driver gets at most SAMPLE_WORDS words of a document, in stretches as long as a training sequence, and no word
+    longer than LONGEST bytes.
+    """
+
+    def stretches(batch: pa.RecordBatch):
+        for lo, hi, data, at in text_blocks(batch.column(1), BLOCK_BYTES):
+            words, out = Words(data, at), []
+            for i, doc_id in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
+                a, many = int(words.first[i]), int(words.counts[i])
+                own = np.arange(a, a + many)
+                if many > SAMPLE_WORDS:
+                    at_random = np.random.default_rng(doc_id % 2**32).integers(0, many - SEQUENCE_WORDS, SAMPLE_WORDS // SEQUENCE_WORDS)
+                    own = a + (at_random[:, None] + np.arange(SEQUENCE_WORDS)).ravel()
+                out.append(b" ".join(data[s:e].tobytes() for s, e in zip(words.starts[own], words.ends[own]) if e - s <= LONGEST).decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.string()), batch.column(2).slice(lo, hi - lo)], names=["doc_id", "text", "lang"])
+
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held_out))
-    chosen = usable.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(rows)  # at most ``rows`` ids, so broadcast
-    got = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").toPandas().sort_values(["doc_id", "text", "lang"])
+    usable = usable.select(F.col("doc_id").cast("long").alias("_id"), "text", "lang")
+    few = usable.join(F.broadcast(smallest_hashes(usable, rows)), "_id", "left_semi")  # at most ``rows`` ids
+    got = one_each(map_batches(few, stretches, "doc_id long, text string, lang string")).toPandas().sort_values("doc_id")
     return fit_crf(list(got["text"]), list(got["lang"]))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import fold, labelled_sample, map_batches
+from .frames import fold, labelled_sample, map_batches, one_each
 from .textkit import LETTER_ASCII, LOWER, NOT_SPACE, Rolling, Words, by_row, byte_class, mix, runs, text_blocks
 
 SAMPLE_ROWS = 20_000
@@ -117,9 +117,9 @@ def document_statistics(docs: DataFrame, keep: str, kinds: str) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Discriminant:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold."""
-    got = document_statistics(labelled_sample(docs, labels, "quality", modulus, held_out, rows), "y", "y int").toPandas()
-    got = got.sort_values(list(got.columns))  # the same sums whatever the order of the partitions
+    """Fit on at most ``rows`` labelled documents outside the held-out fold; an id is learned from once."""
+    got = one_each(document_statistics(labelled_sample(docs, labels, "quality", modulus, held_out, rows), "doc_id,y", "doc_id long, y int")).toPandas()
+    got = got.sort_values(["y", *FEATURES])  # the same sums whatever the order of the partitions
     return fit_discriminant(got[list(FEATURES)].to_numpy(float), got["y"].to_numpy())
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fold, labelled_sample, map_batches
+from .frames import fold, labelled_sample, map_batches, one_each
 from .textkit import ALNUM, LOWER, Rolling, Words, by_row, runs, spans, text_blocks
 
 SAMPLE_ROWS = 8_000
@@ -137,7 +137,7 @@ def fit_machine(row: np.ndarray, bucket: np.ndarray, y: np.ndarray, seed: int =
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, rows: int = SAMPLE_ROWS) -> FactorizationMachine:
-    """Fit on at most ``rows`` labelled documents outside the held-out fold."""
+    """Fit on at most ``rows`` labelled documents outside the held-out fold; an id is learned from once."""
 
     def kernel(batch: pa.RecordBatch):
         hashing = Rolling(9)
@@ -147,7 +147,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out:
             blob = bucket.astype(np.uint32).tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([blob[a:b] for a, b in zip(ends, ends[1:])], pa.binary())], names=["doc_id", "y", "terms"])
 
-    got = map_batches(labelled_sample(docs, labels, "toxic", modulus, held_out, rows), kernel, "doc_id long, y int, terms binary").toPandas().sort_values(["doc_id", "y", "terms"])
+    got = one_each(map_batches(labelled_sample(docs, labels, "toxic", modulus, held_out, rows), kernel, "doc_id long, y int, terms binary")).toPandas().sort_values(["doc_id", "y", "terms"])
     terms = [np.frombuffer(x, np.uint32) for x in got["terms"]]
     row = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
     return fit_machine(row, np.concatenate(terms).astype(np.int64) if terms else np.zeros(0, np.int64), got["y"].to_numpy())
