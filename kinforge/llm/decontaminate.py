@@ -31,7 +31,7 @@ from .textkit import ALNUM, LOWER, U64, Rolling, Words, covered, runs, spans, st
 
 WINDOW, SAMPLE = 13, 8
 BLOCK_BYTES = 2 << 20
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 8 << 20
 SEED = 4
 
 
@@ -42,7 +42,8 @@ class Phrases:
     vocabulary: np.ndarray  # sorted word hashes; a word's number is its place + 1
     pairs: np.ndarray  # sorted, first * (V + 1) + second
     windows: tuple  # of (length, matrix of word numbers)
-    items: tuple  # per window, in that order, the item numbers
+    bounds: np.ndarray  # the holders of window i, in that order, are holders[bounds[i]:bounds[i + 1]]
+    holders: np.ndarray  # item numbers
     names: tuple  # item ids as strings, sorted
 
 
@@ -58,17 +59,22 @@ def phrases(ids: list[str], texts: list[str]) -> Phrases:
     place = {x: i for i, x in enumerate(names)}
     same = words.row[1:] == words.row[:-1] if len(words) else np.zeros(0, bool)
     pairs = np.unique(number[:-1][same] * (len(vocabulary) + 1) + number[1:][same]) if len(words) else np.zeros(0, np.int64)
-    held: dict[bytes, set] = {}
-    for i, name in enumerate(ids):
-        own = number[words.first[i] : words.first[i + 1]].astype(np.int32)
-        for s in range(max(len(own) - WINDOW + 1, min(len(own), 1))):
-            held.setdefault(own[s : s + WINDOW].tobytes(), set()).add(place[name])
-    by_length: dict[int, list] = {}
-    for key in sorted(held):
-        by_length.setdefault(len(key) // 4, []).append(key)
-    windows = tuple((n, np.frombuffer(b"".join(keys), np.int32).reshape(-1, n)) for n, keys in sorted(by_length.items()))
-    items = tuple(tuple(sorted(held[k])) for _, keys in sorted(by_length.items()) for k in keys)
-    return Phrases(vocabulary, pairs, windows, items, tuple(names))
+    item, number = np.array([place[x] for x in ids], np.int64), number.astype(np.int32)
+    size = np.minimum(words.counts, WINDOW).astype(np.int64)
+    windows, bounds, holders = [], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(size[size > 0]).tolist():
+        own = np.flatnonzero(size == n)
+        many = words.counts[own].astype(np.int64) - n + 1
+        rows = number[spans(words.first[own], many)[:, None] + np.arange(n)]
+        key = rows.view(f"V{4 * n}").ravel()
+        order = np.argsort(key, kind="stable")  # by their bytes
+        rows, new = rows[order], np.ones(len(order), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(1)
+        held = np.unique((np.cumsum(new) - 1) * len(names) + np.repeat(item[own], many)[order])
+        windows.append((n, rows[new]))
+        holders.append(held % len(names))
+        bounds.append(bounds[-1][-1] + np.cumsum(np.bincount(held // len(names))))
+    return Phrases(vocabulary, pairs, tuple(windows), np.concatenate(bounds), np.concatenate(holders).astype(np.int32), tuple(names))
 
 
 class FMIndex:
@@ -229,17 +235,18 @@ def _pass(frame: DataFrame, wanted: Phrases, schema: T.StructType, block_bytes:
             for long in np.unique(size):
                 mask |= covered(start[size == long], int(long), len(words))
             hit_rows = np.unique(words.row[start]) if len(start) else []
-            held: dict[int, set] = {}
-            seen = np.unique(words.row[start] * (len(wanted.items) + 1) + which) if len(start) else []
-            for code in seen:
-                held.setdefault(int(code) // (len(wanted.items) + 1), set()).update(wanted.items[int(code) % (len(wanted.items) + 1)])
+            seen = np.unique(words.row[start] * len(wanted.bounds) + which) if len(start) else np.zeros(0, np.int64)
+            row, window = np.divmod(seen, len(wanted.bounds))
+            many = wanted.bounds[window + 1] - wanted.bounds[window]
+            held = np.unique(np.repeat(row, many) * len(wanted.names) + wanted.holders[spans(wanted.bounds[window], many)])
+            row, item = np.divmod(held, max(len(wanted.names), 1))
             for r in hit_rows:
                 a, b = words.first[r], words.first[r + 1]
                 full = mask[a:b].copy()
                 for x, y in zip(before_spans[r][::2], before_spans[r][1::2]):
                     full[x:y] = True
                 before_spans[r] = _merge(full).tolist()
-                before_items[r] = sorted(set(before_items[r]) | {wanted.names[i] for i in held[int(r)]})
+                before_items[r] = sorted(set(before_items[r]) | {wanted.names[i] for i in item[slice(*np.searchsorted(row, (r, r + 1)))]})
             new = {"n_words": pa.array(words.counts.astype(np.int64)), "spans": pa.array(before_spans, pa.list_(pa.int32())), "items": pa.array(before_items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, own.column(c)) for c in own.schema.names], names=own.schema.names)
 
