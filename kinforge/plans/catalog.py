@@ -334,7 +334,11 @@ def candidate_lists(t):
     return rt.candidate_lists(t.s1, t.ranked)
 
 
-@register()
+_shared = f"len(list_intersect({oq.numbers('sa')}, {oq.numbers('ca')})) > 0"
+_rerank = f"55 * n.ratio + 35 * a.ratio + CASE WHEN {_shared} THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END + 0.01::DOUBLE * weight"
+
+
+@register(sql(f"SELECT s1_id, cid, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cid)::INTEGER AS rank, weight, round(score, 6) AS score FROM (SELECT s1_id, cid, weight, {_rerank} AS score FROM att JOIN token_sets n ON n.x = sn AND n.y = cn JOIN token_sets a ON a.x = sa AND a.y = ca) QUALIFY rank <= 35", k=300))
 def rerank_topk(t):
     """Retrieval with the text rerank: needs the kernels."""
     return rt.retrieve(t.s1, t.index).select("s1_id", "cid", "rank", "weight", F.round("score", 6).alias("score"))
@@ -405,7 +409,25 @@ def name_jaro_winkler(t):
     return t.ranked.select("s1_id", "cid", F.round(kn.pair_function(kn.jaro_winkler)(F.col("s1_norm_name"), F.col("cand_norm_name"))[0], 6).alias("name_jw"))
 
 
-@register()
+def _kernel_sql(side: str, x: str, y: str) -> tuple[str, str]:
+    """Columns and joins of the ratio family on one side."""
+    r, p, s_, o, t = (f"{side}_{k}" for k in "rpsot")
+    columns = f"round({r}.ratio, 6) AS {side}_ratio, round({p}.best, 6) AS {side}_partial_ratio, round({o}.ratio, 6) AS {side}_token_sort, round({t}.ratio, 6) AS {side}_token_set"
+    joins = f"JOIN ratios {r} ON {oq.same_pair(r, x, y)} JOIN partials {p} ON {oq.same_pair(p, x, y)} JOIN spelled {s_} ON {s_}.x = {x} AND {s_}.y = {y} JOIN ratios {o} ON {oq.same_pair(o, f'{s_}.x_sorted', f'{s_}.y_sorted')} JOIN token_sets {t} ON {t}.x = {x} AND {t}.y = {y}"
+    return columns, joins
+
+
+_names, _addresses = _kernel_sql("name", "sn", "cn"), _kernel_sql("addr", "sa", "ca")
+_jw = "CASE WHEN sn = cn THEN 1.0 WHEN sn = '' OR cn = '' THEN 0.0 ELSE round(jaro_winkler_similarity(sn, cn), 6) END"
+_len = "round(abs(length({0}) - length({1})) / greatest(length({0}), length({1}), 1)::DOUBLE, 6)"
+_all_features = (
+    f"SELECT s1_id, cid, {_names[0]}, {_jw} AS name_jw, round(name_jaccard, 6) AS name_jaccard, round(k.ratio, 6) AS name_skeleton_ratio, (sn <> '' AND string_split(sn, ' ')[1] = string_split(cn, ' ')[1])::INTEGER::DOUBLE AS first_token_match, {_len.format('sn', 'cn')} AS name_len_diff, "
+    f"{_addresses[0]}, round(addr_jaccard, 6) AS addr_jaccard, {_len.format('sa', 'ca')} AS addr_len_diff, (cid LIKE 'S2-%')::INTEGER::DOUBLE AS is_source2, num_exact_match, round(num_jaccard, 6) AS num_jaccard, num_overlap_count, num_conflict "
+    f"FROM (SELECT f.* EXCLUDE (a, b), {_exact} AS num_exact_match, {_overlap} AS num_overlap_count, {_conflict} AS num_conflict, coalesce(p.bone, '') AS sb, coalesce(q.bone, '') AS cb FROM feat f LEFT JOIN skel p ON p.s1_or_c = sn LEFT JOIN skel q ON q.s1_or_c = cn) {_names[1]} {_addresses[1]} JOIN bone_sets k ON k.x = sb AND k.y = cb"
+)
+
+
+@register(sql(_all_features))
 def pair_features(t):
     """All 20 features, kernels included."""
     made = sim.with_features(t.ranked)

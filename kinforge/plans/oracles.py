@@ -81,11 +81,54 @@ def skeleton_of(table: str, column: str) -> str:
     return f"SELECT t, {squeeze('b')} AS sk FROM (SELECT t, {bones} AS b FROM (SELECT t, {rewritten('t')} AS e FROM (SELECT DISTINCT unnest({column}) AS t FROM {table})))"
 
 
+def matches_of(pairs: str) -> str:
+    """Per distinct pair of strings a, b (the shorter first, at most 125 letters): full, and per letter of b the bits of a's equal letters."""
+    bits = "list_sum(list_transform(range(length(a)), lambda i: CASE WHEN a[i + 1] = c THEN 1::HUGEINT << i::HUGEINT ELSE 0::HUGEINT END))"
+    ordered = f"SELECT DISTINCT CASE WHEN length(x) <= length(y) THEN x ELSE y END AS a, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS b FROM ({pairs})"
+    return f"SELECT a, b, (1::HUGEINT << length(a)::HUGEINT) - 1 AS filled, list_transform(string_split(b, ''), lambda c: coalesce({bits}, 0::HUGEINT)) AS hits FROM ({ordered})"
+
+
+def common(hits: str) -> str:
+    """Length of the longest common subsequence of a and the letters behind ``hits``, one bit for each letter of a."""
+    return f"(length(a) - bit_count(list_reduce(list_prepend(filled, {hits}), lambda r, w: ((r + (r & w)) | (r - (r & w))) & filled)))"
+
+
+def ratio_of(pairs: str) -> str:
+    return f"SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE ELSE 2 * {common('hits')} / (length(a) + length(b))::DOUBLE END AS ratio FROM ({matches_of(pairs)})"
+
+
+def partial_of(pairs: str) -> str:
+    """Over every window of the longer string, those cut off at both ends included."""
+    window = "list_transform(range(1 - length(a), length(b)), lambda s: [greatest(s, 0) + 1, least(s + length(a), length(b))])"
+    value = f"2 * {common('hits[p[1]:p[2]]')} / (length(a) + p[2] - p[1] + 1)::DOUBLE"
+    return f"SELECT a, b, CASE WHEN a = '' THEN (b = '')::INTEGER::DOUBLE WHEN contains(b, a) THEN 1.0 ELSE list_max(list_transform({window}, lambda p: {value})) END AS best FROM ({matches_of(pairs)})"
+
+
+def same_pair(p: str, x: str, y: str) -> str:
+    return f"{p}.a = CASE WHEN length({x}) <= length({y}) THEN {x} ELSE {y} END AND {p}.b = CASE WHEN length({x}) <= length({y}) THEN {y} ELSE {x} END"
+
+
 _weight = " ".join(f"WHEN '{k}' THEN {w}" for k, w in KEY_WEIGHTS.items())
 _num = (
     "CASE WHEN len(a) = 0 AND len(b) = 0 THEN {none} WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE {both} END"
 )
 
+def _spelled(name: str, pairs: str) -> str:
+    """Shared words and both sides' own ones after them, as strings; sorted words."""
+    lists_ = f"SELECT x, y, {words('x')} AS xs, {words('y')} AS ys FROM {pairs}"
+    sets = f"SELECT *, list_sort(list_distinct(xs)) AS xd, list_sort(list_distinct(ys)) AS yd FROM ({lists_})"
+    parts = f"SELECT *, list_filter(xd, lambda t: list_contains(yd, t)) AS core, list_filter(xd, lambda t: NOT list_contains(yd, t)) AS l, list_filter(yd, lambda t: NOT list_contains(xd, t)) AS r FROM ({sets})"
+    text = lambda x: f"array_to_string({x}, ' ')"
+    return f"{name} AS (SELECT x, y, len(xd) = 0 OR len(yd) = 0 AS blank, len(core) > 0 AND (len(l) = 0 OR len(r) = 0) AS inside, {text('core')} AS core, {text('list_concat(core, l)')} AS one, {text('list_concat(core, r)')} AS two, {text('list_sort(xs)')} AS x_sorted, {text('list_sort(ys)')} AS y_sorted FROM ({parts}))"
+
+
+def _token_sets(name: str, table: str) -> str:
+    """The shared words are a head of both strings, so against these all of them are common."""
+    head = lambda x: f"CASE WHEN core = '' THEN 0.0 ELSE 2 * length(core) / (length(core) + length({x}))::DOUBLE END"
+    pairs = f"SELECT one AS x, two AS y FROM {table} WHERE NOT blank AND NOT inside"
+    return f"{name} AS (SELECT x, y, CASE WHEN blank THEN 0.0::DOUBLE WHEN inside THEN 1.0 ELSE greatest(q.ratio, {head('one')}, {head('two')}) END AS ratio FROM {table} LEFT JOIN ({ratio_of(pairs)}) q ON {same_pair('q', 'one', 'two')})"
+
+
 CTE: dict[str, str] = {
     "base": BASE, "biz_s1": S1, "biz_s2": S2, "biz_s3": S3, "biz_truth": TRUTH,
     "ents": "ents AS (SELECT * FROM biz_s1 UNION ALL SELECT * FROM biz_s2 UNION ALL SELECT * FROM biz_s3)",
@@ -123,6 +166,15 @@ CTE: dict[str, str] = {
     "lists": f"lists AS (SELECT *, {words('sn')} AS snw, {words('cn')} AS cnw, {words('sa')} AS saw, {words('ca')} AS caw, {numbers('s1_addr')} AS a, {numbers('cand_addr')} AS b FROM att)",
     "feat": f"feat AS (SELECT *, {jaccard('snw', 'cnw')} AS name_jaccard, {jaccard('saw', 'caw')} AS addr_jaccard, {_num.format(none='1.0', both='len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE')} AS num_jaccard FROM lists)",
     "scores": "scores AS (SELECT s1_id, cid, rank, country, round((name_jaccard + addr_jaccard + num_jaccard) / 3, 4) AS prob FROM feat)",
+    "skel": f"skel AS (SELECT s1_or_c, array_to_string(list(b.sk ORDER BY w.i), ' ') AS bone FROM (SELECT s1_or_c, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT DISTINCT norm_name AS s1_or_c, {words('norm_name')} AS l FROM norm)) w JOIN bones b USING (t) WHERE length(w.t) >= 3 GROUP BY 1)",
+    "strings": "strings AS (SELECT sn AS x, cn AS y FROM att UNION SELECT sa, ca FROM att)",
+    "bone_strings": "bone_strings AS (SELECT DISTINCT coalesce(p.bone, '') AS x, coalesce(q.bone, '') AS y FROM att LEFT JOIN skel p ON p.s1_or_c = sn LEFT JOIN skel q ON q.s1_or_c = cn)",
+    "spelled": _spelled("spelled", "strings"),
+    "bone_spelled": _spelled("bone_spelled", "bone_strings"),
+    "token_sets": _token_sets("token_sets", "spelled"),
+    "bone_sets": _token_sets("bone_sets", "bone_spelled"),
+    "ratios": f"ratios AS ({ratio_of('SELECT x, y FROM strings UNION ALL SELECT x_sorted, y_sorted FROM spelled')})",
+    "partials": f"partials AS ({partial_of('SELECT x, y FROM strings')})",
     "cum": "cum AS (SELECT s1_id, cid, prob, rank, row_number() OVER w AS k, sum(prob) OVER (PARTITION BY s1_id ORDER BY prob DESC, rank ROWS UNBOUNDED PRECEDING) AS s FROM scores WINDOW w AS (PARTITION BY s1_id ORDER BY prob DESC, rank))",
     "tot": "tot AS (SELECT s1_id, sum(prob) AS t, max(prob) AS top, product(1 - prob) AS none, count(*) AS n FROM scores GROUP BY 1)",
     "fk": "fk AS (SELECT c.s1_id, c.k, 1.25 * c.s / (0.25 * t.t + c.k) AS f, t.top, t.none, t.n FROM cum c JOIN tot t USING (s1_id))",
