@@ -334,11 +334,7 @@ def candidate_lists(t):
     return rt.candidate_lists(t.s1, t.ranked)
 
 
-_shared = f"len(list_intersect({oq.numbers('sa')}, {oq.numbers('ca')})) > 0"
-_rerank = f"55 * n.ratio + 35 * a.ratio + CASE WHEN {_shared} THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END + 0.01::DOUBLE * weight"
-
-
-@register(sql(f"SELECT s1_id, cid, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cid)::INTEGER AS rank, weight, round(score, 6) AS score FROM (SELECT s1_id, cid, weight, {_rerank} AS score FROM att JOIN token_sets n ON n.x = sn AND n.y = cn JOIN token_sets a ON a.x = sa AND a.y = ca) QUALIFY rank <= 35", k=300))
+@register(sql(f"SELECT s1_id, cid, row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, cid)::INTEGER AS rank, weight, round(score, 6) AS score FROM (SELECT s1_id, cid, weight, {oq.RERANK} AS score FROM att {oq.RERANK_SETS}) QUALIFY rank <= 35", k=300))
 def rerank_topk(t):
     """Retrieval with the text rerank: needs the kernels."""
     return rt.retrieve(t.s1, t.index).select("s1_id", "cid", "rank", "weight", F.round("score", 6).alias("score"))
@@ -482,13 +478,16 @@ def dedupe_counts(t):
     return t.accepted.agg(F.count("*").alias("before")).crossJoin(t.matches.agg(F.count("*").alias("after")))  # one row each
 
 
-@register(sql("SELECT n.s1_id, coalesce(string_agg(f.cid, ',' ORDER BY f.cid), '') AS matched_ids FROM n1 n LEFT JOIN final f USING (s1_id) GROUP BY 1"))
+_lists = "SELECT n.s1_id, coalesce(string_agg(f.cid, ',' ORDER BY f.cid), '') AS matched_ids FROM n1 n LEFT JOIN final f USING (s1_id) GROUP BY 1"
+
+
+@register(sql(_lists))
 def resolve(t):
     """The flagship: the whole linkage in one plan, JVM only."""
     return link(t.s1_raw, [t.view("biz_s2"), t.view("biz_s3")], kernels=False).lists()
 
 
-@register()
+@register(sql(_lists, k=300, rerank=True))
 def resolve_with_kernels(t):
     """The whole linkage with the text rerank and all features."""
     return link(t.s1_raw, [t.view("biz_s2"), t.view("biz_s3")]).lists()

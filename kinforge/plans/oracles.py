@@ -113,6 +113,10 @@ _num = (
     "CASE WHEN len(a) = 0 AND len(b) = 0 THEN {none} WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE {both} END"
 )
 
+RERANK = f"55 * tn.ratio + 35 * ta.ratio + CASE WHEN len(list_intersect({numbers('sa')}, {numbers('ca')})) > 0 THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END + 0.01::DOUBLE * weight"
+RERANK_SETS = "JOIN token_sets tn ON tn.x = sn AND tn.y = cn JOIN token_sets ta ON ta.x = sa AND ta.y = ca"
+
+
 def _spelled(name: str, pairs: str) -> str:
     """Shared words and both sides' own ones after them, as strings; sorted words."""
     lists_ = f"SELECT x, y, {words('x')} AS xs, {words('y')} AS ys FROM {pairs}"
@@ -165,7 +169,6 @@ CTE: dict[str, str] = {
     "att": "att AS (SELECT t.s1_id, t.cid, t.weight, t.rank, s.country, s.name AS s1_name, s.addr AS s1_addr, s.norm_name AS sn, s.norm_addr AS sa, c.name AS cand_name, c.addr AS cand_addr, c.norm_name AS cn, c.norm_addr AS ca FROM top_ t JOIN n1 s USING (s1_id) JOIN nc c USING (cid))",
     "lists": f"lists AS (SELECT *, {words('sn')} AS snw, {words('cn')} AS cnw, {words('sa')} AS saw, {words('ca')} AS caw, {numbers('s1_addr')} AS a, {numbers('cand_addr')} AS b FROM att)",
     "feat": f"feat AS (SELECT *, {jaccard('snw', 'cnw')} AS name_jaccard, {jaccard('saw', 'caw')} AS addr_jaccard, {_num.format(none='1.0', both='len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE')} AS num_jaccard FROM lists)",
-    "scores": "scores AS (SELECT s1_id, cid, rank, country, round((name_jaccard + addr_jaccard + num_jaccard) / 3, 4) AS prob FROM feat)",
     "skel": f"skel AS (SELECT s1_or_c, array_to_string(list(b.sk ORDER BY w.i), ' ') AS bone FROM (SELECT s1_or_c, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT DISTINCT norm_name AS s1_or_c, {words('norm_name')} AS l FROM norm)) w JOIN bones b USING (t) WHERE length(w.t) >= 3 GROUP BY 1)",
     "strings": "strings AS (SELECT sn AS x, cn AS y FROM att UNION SELECT sa, ca FROM att)",
     "bone_strings": "bone_strings AS (SELECT DISTINCT coalesce(p.bone, '') AS x, coalesce(q.bone, '') AS y FROM att LEFT JOIN skel p ON p.s1_or_c = sn LEFT JOIN skel q ON q.s1_or_c = cn)",
@@ -175,6 +178,8 @@ CTE: dict[str, str] = {
     "bone_sets": _token_sets("bone_sets", "bone_spelled"),
     "ratios": f"ratios AS ({ratio_of('SELECT x, y FROM strings UNION ALL SELECT x_sorted, y_sorted FROM spelled')})",
     "partials": f"partials AS ({partial_of('SELECT x, y FROM strings')})",
+    "scores": "scores AS (SELECT s1_id, cid, rank, country, round((name_jaccard + addr_jaccard + num_jaccard) / 3, 4) AS prob FROM feat)",
+    "rescored": f"scores AS (SELECT s1_id, cid, place AS rank, country, round((name_jaccard + addr_jaccard + num_jaccard) / 3, 4) AS prob FROM (SELECT feat.*, row_number() OVER (PARTITION BY s1_id ORDER BY {RERANK} DESC, cid) AS place FROM feat {RERANK_SETS}) WHERE place <= 35)",
     "cum": "cum AS (SELECT s1_id, cid, prob, rank, row_number() OVER w AS k, sum(prob) OVER (PARTITION BY s1_id ORDER BY prob DESC, rank ROWS UNBOUNDED PRECEDING) AS s FROM scores WINDOW w AS (PARTITION BY s1_id ORDER BY prob DESC, rank))",
     "tot": "tot AS (SELECT s1_id, sum(prob) AS t, max(prob) AS top, product(1 - prob) AS none, count(*) AS n FROM scores GROUP BY 1)",
     "fk": "fk AS (SELECT c.s1_id, c.k, 1.25 * c.s / (0.25 * t.t + c.k) AS f, t.top, t.none, t.n FROM cum c JOIN tot t USING (s1_id))",
@@ -195,12 +200,13 @@ def _needs(name: str) -> list[str]:
     return [x for x in CTE if x != name and re.search(rf"\b{re.escape(x)}\b", re.sub(r"'[^']*'", "", body))]
 
 
-def sql(body: str, cap: int = 150, k: int = 35, pred: str = "final") -> str:
-    """``body`` after the expressions it needs, in the order of the table above."""
+def sql(body: str, cap: int = 150, k: int = 35, pred: str = "final", rerank: bool = False) -> str:
+    """``body`` after the expressions it needs, in the order of the table above; with ``rerank``, scores of the pairs that the text rerank keeps."""
     wanted: set[str] = set()
     todo = [x for x in CTE if re.search(rf"\b{re.escape(x)}\b", re.sub(r"'[^']*'", "", body))]
     while todo:
         name = todo.pop()
+        name = "rescored" if rerank and name == "scores" else name
         if name not in wanted:
             wanted.add(name)
             todo += _needs(name) + ([pred] if name == "ef" else [])
