@@ -9,6 +9,11 @@ from ..config import ADDRESS_STOPWORDS, NAME_STOPWORDS, SKELETON_STOPWORDS, Link
 from ..functions.text import extract_numbers, phonetic_skeleton, tokens
 
 
+def key_hash(country: Column, key: Column) -> Column:
+    """A signed 64-bit number for a key of a country; not for decisions, as two keys can share one."""
+    return F.xxhash64(F.concat_ws("|", country, key))
+
+
 def distinctive_tokens(norm_name: Column, limit: int = 3) -> Column:
     """The first words of four letters or more that are no stopwords; repeats stay."""
     return F.slice(F.filter(tokens(norm_name), lambda t: (F.length(t) >= 4) & ~t.isin(NAME_STOPWORDS)), 1, limit)

@@ -1,26 +1,39 @@
-"""Training pairs and the two-model cascade on MLlib."""
+"""Training pairs, and the two-model cascade over all pairs."""
 
 from __future__ import annotations
 
-import itertools
 import random
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LinkConfig
 from ..functions.similarity import FEATURES, with_features
+from . import models
 from .decode import cascade_blend, name_floor_gate
 from .evaluate import threshold_sweep
+from .models import Network, Trees
 from .retrieve import attach
 from .split import sample_negatives
 
+SAMPLE_PAIRS = 300_000  # rows a model is fitted on, by hash; all rows, if they are fewer
+HELD_SHARE = 0.1  # of these, for the specialist's early stop
+
+# --- Fixed values: the tuner's settings -------------------------------------------------------------------------
+SEARCH_SPACE = {
+    "leaves": [31, 63, 95, 127],
+    "rate": [0.03, 0.05, 0.08, 0.12],
+    "depth": [6, 8, 10, -1],
+    "features": [0.7, 0.8, 0.85, 0.9, 1.0],
+    "rows": [0.7, 0.8, 0.85, 0.9, 1.0],
+    "least": [10, 20, 30, 50],
+}
+NAME_FLOORS = (0.0, 0.15, 0.25, 0.35)
+# ------------------------------------------------------------------------------------------------------------------
+
 
 def label_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """Adds label: 1 for a true pair, else 0."""
@@ -35,74 +48,104 @@ def missed_positives(truth: DataFrame, retrieved: DataFrame, s1: DataFrame, cand
 
 
 def training_pairs(ranked: DataFrame, truth: DataFrame, s1: DataFrame, candidates: DataFrame, ratio: int | None = 5, inject: bool = True, kernels: bool = True) -> DataFrame:
-    """Ranked attached pairs (and missed true ones) with label and features, negatives capped for each record."""
-    cols = ["s1_id", "cid", "country", *[f"{side}_{c}" for side in ("s1", "cand") for c in ("name", "addr", "norm_name", "norm_addr")]]
+    """Ranked attached pairs (and missed true ones) with label and features, negatives capped for each record.
+
+    ``ranked`` may have its features already, and then needs no texts.
+    """
+    ready = set(FEATURES) <= set(ranked.columns)
+    cols = ["s1_id", "cid", "country", *(FEATURES if ready else [f"{side}_{c}" for side in ("s1", "cand") for c in ("name", "addr", "norm_name", "norm_addr")])]
     pairs = ranked.select(*cols, "rank")
     if inject:
-        pairs = pairs.unionByName(missed_positives(truth, ranked, s1, candidates).select(*cols, F.lit(1 << 30).alias("rank")))
+        missed = missed_positives(truth, ranked, s1, candidates)
+        pairs = pairs.unionByName((with_features(missed, kernels) if ready else missed).select(*cols, F.lit(1 << 30).alias("rank")))
     n_true = truth.select("s1_id", "cid").distinct().groupBy("s1_id").agg(F.count("*").alias("n_true"))
     labelled = label_pairs(pairs, truth).join(n_true, "s1_id", "left").withColumn("n_true", F.coalesce("n_true", F.lit(0)))
-    return with_features(sample_negatives(labelled, ratio), kernels)
+    some = sample_negatives(labelled, ratio)
+    return some if ready else with_features(some, kernels)
+
 
+def feature_rows(pairs: DataFrame, most: int = SAMPLE_PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels on the driver, in the order of a hash of the pair; of more than ``most`` pairs about that many."""
+    n = pairs.count()
+    hashed = pairs.select(F.xxhash64("s1_id", "cid").alias("_h"), *FEATURES, F.col("label").cast("double").alias("label"))
+    if n > most:
+        hashed = hashed.where(F.col("_h") < int((2 * most / n - 1) * (1 << 63)))  # a share of the hash's range
+    table = hashed.toArrow()
+    order = np.argsort(table.column("_h").to_numpy(), kind="stable")
+    column = lambda c: table.column(c).to_numpy().astype(float)[order]
+    return np.nan_to_num(np.stack([column(f) for f in FEATURES], axis=1)), column("label")
 
-def _assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=list(FEATURES), outputCol="features")
 
+def fit_screener(pairs: DataFrame, most: int = SAMPLE_PAIRS, **settings) -> Trees:
+    """Gradient-boosted trees over the features; ``settings`` as in ``models.fit_trees``."""
+    return models.fit_trees(*feature_rows(pairs, most), **settings)
 
-def fit_screener(pairs: DataFrame, trees: int = 100, depth: int = 5, rate: float = 0.08, subsample: float = 0.85, least: int = 20, seed: int = 42) -> PipelineModel:
-    """Gradient-boosted trees over the features.  MLlib grows trees by level, so depth stands in for a leaf count."""
-    trees_ = GBTClassifier(labelCol="label", maxIter=trees, maxDepth=min(depth, 8), stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(subsample), minInstancesPerNode=least, seed=seed)
-    return Pipeline(stages=[_assembler(), trees_]).fit(pairs)
 
+def fit_specialist(pairs: DataFrame, most: int = SAMPLE_PAIRS, **settings) -> Network:
+    """The residual network; a tenth of the rows decides when to stop.  ``settings`` as in ``models.fit_network``."""
+    x, y = feature_rows(pairs, most)
+    held = int(HELD_SHARE * len(x))
+    return models.fit_network(x[held:], y[held:], x[:held], y[:held], **settings)
 
-def fit_specialist(pairs: DataFrame, hidden: tuple[int, ...] = (128, 64), iterations: int = 60, seed: int = 42) -> PipelineModel:
-    """A multilayer perceptron over the standardised features."""
-    net = MultilayerPerceptronClassifier(labelCol="label", featuresCol="scaled", layers=[len(FEATURES), *hidden, 2], maxIter=iterations, seed=seed)
-    return Pipeline(stages=[_assembler(), StandardScaler(inputCol="features", outputCol="scaled", withMean=True), net]).fit(pairs)
 
+def _probabilities(screener: Trees, specialist: Network | None, low: float, high: float, columns: list[Column]) -> Column:
+    """Struct (screener, specialist) of every row, in one Arrow exchange; the specialist only sees the band."""
 
-def probability(model: PipelineModel, pairs: DataFrame, name: str) -> DataFrame:
-    got = model.transform(pairs)
-    return got.withColumn(name, vector_to_array("probability")[1]).select(*pairs.columns, name)
+    @F.arrow_udf("screener double, specialist double")
+    def both(*values: pa.Array) -> pa.Array:
+        x = np.nan_to_num(np.stack([v.to_numpy(zero_copy_only=False).astype(float) for v in values], axis=1))
+        p = screener.probability(x)
+        inside = (p >= low) & (p < high) if specialist is not None else np.zeros(len(p), bool)
+        q = np.zeros(len(p))
+        if inside.any():
+            q[inside] = specialist.probability(x[inside])
+        return pa.StructArray.from_arrays([pa.array(p), pa.array(q, mask=~inside)], ["screener", "specialist"])
+
+    return both(*columns)
 
 
 @dataclass(frozen=True)
 class Cascade:
     """The screener decides outside the band; inside, the specialist has a share."""
 
-    screener: PipelineModel
-    specialist: PipelineModel | None = None
+    screener: Trees
+    specialist: Network | None = None
     config: LinkConfig = LinkConfig()
 
     def score(self, pairs: DataFrame) -> DataFrame:
-        """Adds prob, rounded; the specialist only sees the band."""
+        """Adds prob, rounded."""
         low, high = self.config.band
-        first = probability(self.screener, pairs, "p_screener")
-        if self.specialist is None:
-            blended = first.withColumn("prob", F.col("p_screener"))
-        else:
-            inside = (F.col("p_screener") >= low) & (F.col("p_screener") < high)
-            unsure = probability(self.specialist, first.where(inside), "p_specialist").withColumn("prob", cascade_blend(F.col("p_screener"), F.col("p_specialist"), low, high, self.config.screener_share))
-            blended = first.where(~inside).withColumn("prob", F.col("p_screener")).unionByName(unsure.drop("p_specialist"))
-        return blended.drop("p_screener").withColumn("prob", F.round("prob", self.config.probability_decimals))
-
-    def save(self, folder: str) -> None:
-        self.screener.write().overwrite().save(f"{folder}/screener")
-        if self.specialist is not None:
-            self.specialist.write().overwrite().save(f"{folder}/specialist")
+        scored = pairs.withColumn("_p", _probabilities(self.screener, self.specialist, low, high, [F.col(f).cast("double") for f in FEATURES]))
+        first, second = F.col("_p.screener"), F.col("_p.specialist")
+        blended = cascade_blend(first, F.coalesce(second, first), low, high, self.config.screener_share)
+        return scored.withColumn("prob", F.round(blended, self.config.probability_decimals)).drop("_p")
+
+    def save(self, spark, folder: str) -> None:
+        """One small Parquet table: model, blob."""
+        rows = [("screener", bytearray(self.screener.pack()))] + ([("specialist", bytearray(self.specialist.pack()))] if self.specialist is not None else [])
+        spark.createDataFrame(rows, "model string, blob binary").coalesce(1).write.mode("overwrite").parquet(folder)
 
     @staticmethod
-    def load(folder: str, with_specialist: bool = True, config: LinkConfig = LinkConfig()) -> Cascade:
-        return Cascade(PipelineModel.load(f"{folder}/screener"), PipelineModel.load(f"{folder}/specialist") if with_specialist else None, config)
+    def load(spark, folder: str, with_specialist: bool = True, config: LinkConfig = LinkConfig()) -> Cascade:
+        blobs = {r["model"]: bytes(r["blob"]) for r in spark.read.parquet(folder).collect()}  # two rows
+        return Cascade(Trees.unpack(blobs["screener"]), Network.unpack(blobs["specialist"]) if with_specialist and "specialist" in blobs else None, config)
+
+
+def fit_cascade(pairs: DataFrame, config: LinkConfig = LinkConfig(), most: int = SAMPLE_PAIRS) -> Cascade:
+    """Both models with their own settings, from one reading of the pairs."""
+    x, y = feature_rows(pairs, most)
+    held = int(HELD_SHARE * len(x))
+    return Cascade(models.fit_trees(x, y), models.fit_network(x[held:], y[held:], x[:held], y[:held]), config)
 
 
-def feature_importance(model: PipelineModel, k: int = 10) -> list[tuple[str, float]]:
-    gains = model.stages[-1].featureImportances.toArray()
-    return sorted(zip(FEATURES, map(float, gains)), key=lambda x: (-x[1], x[0]))[:k]
+def feature_importance(screener: Trees, k: int = 10) -> list[tuple[str, float]]:
+    """The k features of the largest gain, as shares of all."""
+    return sorted(zip(FEATURES, map(float, screener.gains / max(screener.gains.sum(), 1e-12))), key=lambda x: (-x[1], x[0]))[:k]
 
 
-def area_under_curve(model: PipelineModel, pairs: DataFrame) -> float:
-    return BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(pairs))
+def area_under_curve(model: Trees | Network, pairs: DataFrame, most: int = SAMPLE_PAIRS) -> float:
+    x, y = feature_rows(pairs, most)
+    return models.area_under_curve(y, model.probability(x))
 
 
 def hard_negatives(scored: DataFrame, least: float = 0.35) -> DataFrame:
@@ -110,21 +153,23 @@ def hard_negatives(scored: DataFrame, least: float = 0.35) -> DataFrame:
     return scored.where((F.col("label") == 0) & (F.col("prob") >= least))
 
 
-def random_search(train: DataFrame, val: DataFrame, s1: DataFrame, truth: DataFrame, space: dict[str, list], trials: int, floors: tuple[float, ...] = (0.0, 0.25), seed: int = 42) -> list[dict]:
-    """Trials over random settings of ``fit_screener`` and name floors, best macro F0.5 first.
+def random_search(train: DataFrame, val: DataFrame, s1: DataFrame, truth: DataFrame, space: dict[str, list] = SEARCH_SPACE, trials: int = 15, floors: tuple[float, ...] = NAME_FLOORS, seed: int = 42, **fixed) -> list[dict]:
+    """Trials over random settings of ``fit_trees`` and name floors, best macro F0.5 first.
 
-    The feature tables are built once and cached; a trial returns eleven numbers to the driver.
+    The training rows come to the driver once; the caller keeps ``val`` persisted.  A trial returns the best threshold
+    of each floor.
     """
-    grid = tuple(round(0.40 + 0.05 * i, 2) for i in range(11))
-    every = [dict(zip(space, x)) for x in itertools.product(*space.values())]
-    chosen = random.Random(seed).sample(every, min(trials, len(every)))
-    train, val, out = train.cache(), val.cache(), []
-    for n, params in enumerate(chosen):
-        scored = Cascade(fit_screener(train, seed=seed, **params)).score(val)
+    grid, rng, out = tuple(round(0.40 + 0.05 * i, 2) for i in range(11)), random.Random(seed), []
+    x, y = feature_rows(train)
+    s1, truth = s1.select("s1_id").persist(), truth.select("s1_id", "cid").persist()
+    for n in range(trials):
+        params = {k: rng.choice(v) for k, v in space.items()}
+        scored = Cascade(models.fit_trees(x, y, seed=seed, **(fixed | params))).score(val).select("s1_id", "cid", "name_token_set", "prob").persist()
         for floor in floors:
             gated = scored.withColumn("prob", name_floor_gate(F.col("prob"), F.col("name_token_set"), floor))
             top = threshold_sweep(s1, truth, gated, grid).where("best").first()
             out.append({"trial": n, "params": params, "name_sim_floor": floor, "best_thresh": top["threshold"], "macro_f05": top["macro_f05"]})
-    train.unpersist()
-    val.unpersist()
+        scored.unpersist()
+    s1.unpersist()
+    truth.unpersist()
     return sorted(out, key=lambda x: (-x["macro_f05"], x["trial"], x["name_sim_floor"]))

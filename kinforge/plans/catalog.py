@@ -25,7 +25,7 @@ from ..sources import entities as en
 from ..sources.fixtures import view
 from . import oracles as oq
 from .oracles import sql
-from .resolve import link, reference_records, surrogate_score
+from .resolve import link, reference_records, surrogate_score, train_and_link
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -624,17 +624,39 @@ def positive_sample(t):
 
 @register()
 def screener_scores(t):
-    """Gradient-boosted screener: fitted on the training split's pairs, applied to the validation split's.  Fewer and
-    smaller trees than ``fit_screener`` defaults to, as the README says."""
+    """Gradient-boosted screener: fitted on the training split's pairs, applied to the validation split's."""
     pairs = t.training
-    model = tr.fit_screener(pairs.where("part = 'train'"), trees=10, depth=4)
+    model = tr.fit_screener(pairs.where("part = 'train'"))
     return tr.Cascade(model).score(pairs.where("part = 'val'")).select("s1_id", "cid", "label", "prob")
 
 
 @register()
 def cascade_scores(t):
-    """Screener and specialist, blended inside the band; both smaller than the operators' defaults, as the README says."""
+    """Screener and specialist, blended inside the band."""
     pairs = t.training
-    train = pairs.where("part = 'train'")
-    cascade = tr.Cascade(tr.fit_screener(train, trees=5, depth=3), tr.fit_specialist(train, hidden=(16,), iterations=15))
+    cascade = tr.fit_cascade(pairs.where("part = 'train'"))
     return cascade.score(pairs.where("part = 'val'")).select("s1_id", "cid", "label", "prob")
+
+
+@register()
+def resolve_cascade(t):
+    """The whole linkage with the text rerank, all features and both models, which learn from the training split."""
+    return train_and_link(t.s1_raw, [t.view("biz_s2"), t.view("biz_s3")], t.truth)[0].lists()
+
+
+@register()
+def cascade_f05(t):
+    """Macro F0.5 of the whole linkage, on the records that the models did not learn from."""
+    linkage = train_and_link(t.s1_raw, [t.view("biz_s2"), t.view("biz_s3")], t.truth)[0]
+    held = sp.split_entities(linkage.s1, "s1_id").where("part = 'val'").select("s1_id")
+    return ev.evaluate(held, t.truth.join(held, "s1_id", "left_semi"), linkage.matches.join(held, "s1_id", "left_semi"))
+
+
+@register()
+def tune_screener(t):
+    """Random search over the screener's settings and name floors; three trials."""
+    pairs, held = t.training, sp.split_entities(t.s1, "s1_id").where("part = 'val'").select("s1_id")
+    truth = t.truth.join(held, "s1_id", "left_semi")
+    found = tr.random_search(pairs.where("part = 'train'"), pairs.where("part = 'val'"), held, truth, trials=3)
+    rows = [(f["trial"], f["name_sim_floor"], f["best_thresh"], f["macro_f05"], *[f["params"][k] for k in tr.SEARCH_SPACE]) for f in found]
+    return t.spark.createDataFrame(rows, "trial int, name_sim_floor double, best_thresh double, macro_f05 double, leaves int, rate double, depth int, features double, rows double, least int")

@@ -40,12 +40,22 @@ def read_entities(spark: SparkSession, path: str, ids: DataFrame | None = None)
     return out if ids is None else out.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
 
 
+def _line_order() -> F.Column:
+    """Sorts rows of files as they stand there."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n"))
+
+
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """(s1_id, cids): the matched ids as an array without repeats, empty for a record without a match."""
+    """(s1_id, cids): the matched ids as an array without repeats, empty for a record without a match.
+
+    Of several rows of a record the last in the file holds.
+    """
     raw = _text_table(spark, path)
     cols = raw.columns
     shift = 1 if len(cols) > 2 and "source1" in cols[1].lower() else 0
-    return explode_list(raw.select(F.trim(F.col(f"`{cols[shift]}`")).alias("s1_id"), F.col(f"`{cols[shift + 1]}`").alias("matched_ids")))
+    rows = raw.select(F.trim(F.col(f"`{cols[shift]}`")).alias("s1_id"), F.col(f"`{cols[shift + 1]}`").alias("matched_ids"), _line_order().alias("line"))
+    last = rows.groupBy("s1_id").agg(F.max(F.struct("line", "matched_ids")).alias("r"))
+    return explode_list(last.select("s1_id", F.col("r.matched_ids").alias("matched_ids")))
 
 
 def split_ids(cell) -> F.Column:
@@ -63,9 +73,9 @@ def truth_pairs(truth: DataFrame) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str, name: str = "entity_id", first: int | None = None) -> DataFrame:
-    """One id a line; with ``first``, the smallest of them (files are sorted)."""
-    ids = spark.read.text(path).select(F.trim("value").alias(name)).where(F.col(name) != "")
-    return ids if first is None else ids.orderBy(name).limit(first)
+    """One id a line; with ``first``, of the first lines alone."""
+    ids = spark.read.text(path).select(F.trim("value").alias(name), _line_order().alias("line"))
+    return (ids if first is None else ids.orderBy("line").limit(first)).where(F.col(name) != "").select(name)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:

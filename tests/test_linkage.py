@@ -1,5 +1,6 @@
 """Keys, retrieval, decisions, owners, evaluation, files, streaming: behaviour on hand-written records."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,13 +10,15 @@ from kinforge.operators import decode as dc
 from kinforge.operators import evaluate as ev
 from kinforge.operators import index as ix
 from kinforge.operators import keys as ky
+from kinforge.operators import models as md
 from kinforge.operators import retrieve as rt
 from kinforge.operators import split as sp
 from kinforge.operators import training as tr
 from kinforge.operators import translit as tl
 from kinforge.operators.inmemory import retrieve_simple
-from kinforge.plans.resolve import link, reference_records
+from kinforge.plans.resolve import first_records, link, reference_records
 from kinforge.sources import entities as en
+from kinforge.sources.fixtures import view
 
 ENTITY = "entity_id string, business_name string, business_address string, country string"
 CANDIDATES = [
@@ -149,7 +152,7 @@ def test_files(spark, tmp_path):
     assert tuple(en.read_scores(spark, str(tmp_path / "scores.tsv")).first()) == ("a", "b", 0.5)
     assert en.read_dictionary(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "ids.txt").write_text("b\na\n\nc\n")
-    assert [r[0] for r in en.read_ids(spark, str(tmp_path / "ids.txt"), first=2).collect()] == ["a", "b"]
+    assert [r[0] for r in en.read_ids(spark, str(tmp_path / "ids.txt"), first=2).collect()] == ["b", "a"]
 
 
 def test_dictionary(spark):
@@ -177,13 +180,104 @@ def test_splits(spark):
 def test_models(spark, tmp_path):
     rows = [(f"a{i}", f"S2-{i % 7}", *[float((i * (k + 3)) % 11) / 11 + (i % 2) for k in range(len(FEATURES))], i % 2) for i in range(120)]
     pairs = spark.createDataFrame(rows, "s1_id string, cid string, " + ", ".join(f"{f} double" for f in FEATURES) + ", label int")
-    cascade = tr.Cascade(tr.fit_screener(pairs, trees=3, depth=2, least=1), tr.fit_specialist(pairs, hidden=(4,), iterations=5))
+    cascade = tr.Cascade(tr.fit_screener(pairs, rounds=3, depth=2, least=1), tr.fit_specialist(pairs, width=4, narrow=4, epochs=2, batch=16))
     scored = cascade.score(pairs)
     assert scored.count() == 120 and scored.where("prob < 0 or prob > 1").count() == 0
     assert scored.where("label = 1").agg(F.avg("prob")).first()[0] > scored.where("label = 0").agg(F.avg("prob")).first()[0]
-    cascade.save(str(tmp_path))
-    assert tr.Cascade.load(str(tmp_path)).score(pairs).exceptAll(scored).isEmpty()
+    x, _ = tr.feature_rows(pairs)
+    p, q = cascade.screener.probability(x), cascade.specialist.probability(x)
+    low, high = cascade.config.band
+    want = np.where((p >= low) & (p < high), 0.7 * p + 0.3 * q, p)
+    assert ((p >= low) & (p < high)).any()
+    assert np.allclose(np.sort([r["prob"] for r in scored.collect()]), np.sort(want), atol=1e-6)
+    cascade.save(spark, str(tmp_path / "models"))
+    assert tr.Cascade.load(spark, str(tmp_path / "models")).score(pairs).exceptAll(scored).isEmpty()
+    assert tr.Cascade.load(spark, str(tmp_path / "models"), with_specialist=False).specialist is None
     assert len(tr.feature_importance(cascade.screener)) == 10 and tr.area_under_curve(cascade.screener, pairs) > 0.5
+    assert abs(len(tr.feature_rows(pairs, most=60)[0]) - 60) < 30 and cascade.score(pairs.limit(0)).count() == 0
+
+
+def test_trees_against_brute_force():
+    rng = np.random.default_rng(3)
+    x, y = rng.random((300, 4)).round(2), rng.integers(0, 2, 300).astype(float)
+    got = md.fit_trees(x, y, rounds=1, leaves=2, features=1.0, rows=1.1, least=20, bins=512)
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+    split = lambda s: g[s].sum() ** 2 / h[s].sum()
+    options = [(split(x[:, j] <= t) + split(x[:, j] > t), j, t) for j in range(4) for t in np.unique(x[:, j]) if 20 <= (x[:, j] <= t).sum() <= 280]
+    gain, j, t = max(options)
+    assert got.feature[0] == j and got.threshold[0] == t and np.isclose(got.gains.sum(), gain - g.sum() ** 2 / h.sum())
+    low = x[:, j] <= t
+    margin = np.log(p / (1 - p)) - 0.08 * np.where(low, g[low].sum() / h[low].sum(), g[~low].sum() / h[~low].sum())
+    assert np.allclose(got.probability(x), 1 / (1 + np.exp(-margin)))
+    deep = md.fit_trees(x, y, rounds=5, leaves=9, depth=3, least=10)
+    assert deep.depth == 3 and len(deep.roots) == 5 and (np.diff(np.append(deep.roots, len(deep.left))) <= 17).all()
+    assert np.allclose(md.fit_trees(x, np.ones(300)).probability(x), 1) and len(md.fit_trees(x[:0], y[:0]).probability(x)) == 300
+
+
+def test_network_gradients_and_early_stop():
+    rng = np.random.default_rng(5)
+    x = rng.random((400, 6))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    net = md.fit_network(x[:300], y[:300], x[300:], y[300:], width=16, narrow=8, epochs=60, batch=32, patience=60)
+    assert md.area_under_curve(y[300:], net.probability(x[300:])) > 0.9
+
+    class Keep:  # batch moments, nothing dropped
+        def random(self, shape):
+            return np.ones(shape)
+
+    loss = lambda w: -np.mean(np.log(np.where(y == 1, *(lambda p: (p, 1 - p))(md._forward(dict(w), x, Keep())[0]))))
+    p, tape = md._forward(dict(net.weights), x, Keep())
+    grads = md._backward(net.weights, tape, p - y)
+    for name, grad in grads.items():
+        step = np.zeros_like(net.weights[name])
+        step.flat[0] = 1e-5
+        slope = (loss(net.weights | {name: net.weights[name] + step}) - loss(net.weights | {name: net.weights[name] - step})) / 2e-5
+        assert np.isclose(slope, grad.flat[0], rtol=1e-3, atol=1e-7), name
+    assert md.area_under_curve(np.array([0, 1, 1, 0]), np.array([0.1, 0.9, 0.5, 0.5])) == 0.875
+    assert len(md.fit_network(x[:0], y[:0], x, y).probability(x)) == 400
+
+
+def test_random_search(spark):
+    rows = [(f"a{i // 4}", f"S2-{i}", *[float(i % 4 == 0)] * len(FEATURES), int(i % 4 == 0)) for i in range(160)]
+    pairs = spark.createDataFrame(rows, "s1_id string, cid string, " + ", ".join(f"{f} double" for f in FEATURES) + ", label int")
+    truth = pairs.where("label = 1").select("s1_id", "cid")
+    found = tr.random_search(pairs, pairs, pairs.select("s1_id").distinct(), truth, trials=2, floors=(0.0, 1.5), rounds=60)
+    assert [f["name_sim_floor"] for f in found] == [0.0, 0.0, 1.5, 1.5] and [f["macro_f05"] for f in found] == [1.0, 1.0, 0.0, 0.0]
+    assert found == tr.random_search(pairs, pairs, pairs.select("s1_id").distinct(), truth, trials=2, floors=(0.0, 1.5), rounds=60)
+
+
+def test_key_hash(spark):
+    rows = spark.createDataFrame([("US", "tok:a"), ("India", "tok:a"), ("US", "tok:b")], "country string, key string").select(ky.key_hash(F.col("country"), F.col("key")).alias("h")).collect()
+    assert len({r["h"] for r in rows}) == 3 and all(-(1 << 63) <= r["h"] < 1 << 63 for r in rows)
+
+
+def test_truth_and_ids_in_file_order(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S2-2\nS1-2\t\nS1-1\tS2-9\n")
+    assert {r["s1_id"]: r["cids"] for r in en.read_truth(spark, str(tmp_path / "t.tsv")).collect()} == {"S1-1": ["S2-9"], "S1-2": []}
+    (tmp_path / "ids.txt").write_text("S1-9\nS1-1\nS1-5\n")
+    assert [r[0] for r in en.read_ids(spark, str(tmp_path / "ids.txt"), first=2).collect()] == ["S1-9", "S1-1"]
+
+
+def test_entity_cap(spark):
+    ids = spark.range(20).select(F.format_string("S1-%02d", "id").alias("s1_id"))
+    assert first_records(ids, 5, 4).count() == 8 and first_records(ids, None) is ids and first_records(ids, 50, 4).count() == 20
+
+
+def test_command_line(spark, tmp_path, small):
+    from kinforge.__main__ import main
+
+    for name, table in (("s1", "biz_s1"), ("s2", "biz_s2"), ("s3", "biz_s3")):
+        en.write_table(view(spark, small, table).coalesce(1), str(tmp_path / f"{name}.tsv"))
+    truth = view(spark, small, "biz_truth")
+    en.write_table(truth.groupBy("s1_id").agg(F.concat_ws(",", F.collect_list("cid")).alias("m")).select(F.col("s1_id").alias("source1_entity_id"), F.col("m").alias("matched_entity_ids")).coalesce(1), str(tmp_path / "truth.tsv"))
+    files, kept = [str(tmp_path / f"{n}.tsv") for n in ("s1", "s2", "s3")], ["--models", str(tmp_path / "models"), "--index", str(tmp_path / "index")]
+    assert main([*files, "--out", str(tmp_path / "out"), "--truth", str(tmp_path / "truth.tsv"), *kept]) == 0
+    found = en.truth_pairs(en.explode_list(spark.read.csv(str(tmp_path / "out/matches.tsv"), sep="\t", header=True)))
+    s1 = view(spark, small, "biz_s1").select(F.col("entity_id").alias("s1_id"))
+    assert ev.evaluate(s1, truth, found).first()["macro_f05"] > 0.8
+    assert main([*files, "--out", str(tmp_path / "few"), *kept, "--max-entities", "3", "--chunk-size", "5", "--decode-mode", "threshold", "--threshold", "0.5"]) == 0
+    assert spark.read.csv(str(tmp_path / "few/matches.tsv"), sep="\t", header=True).count() == 5
 
 
 def test_whole_plan_and_stream(spark, tmp_path):

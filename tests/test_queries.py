@@ -6,15 +6,13 @@ from kinforge.plans import catalog
 
 from .oracle import assert_same
 
-SLOW = {"cascade_scores", "screener_scores"}
-
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_equals_duckdb(spark, small, name):
     assert_same(spark, small, catalog.QUERIES[name], catalog.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, small, name):
     got = catalog.QUERIES[name](spark, small)
     assert got.count() > 0 and got.columns
