@@ -29,6 +29,7 @@ SEQUENCES, SEQUENCE_WORDS, RUN_WORDS = 4_000, 48, 12
 EPOCHS, BATCH, RATE, DECAY = 6, 200, 0.2, 1e-5
 BLOCK_BYTES = 3 << 20
 WORDS_AT_ONCE = 1 << 15  # whose features are held together
+CHUNK_WORDS = 512  # of a long text, labelled in step with its other chunks
 _WIDE = byte_class((0x80, 0xFF))
 _LETTERLIKE = LETTER_ASCII | _WIDE
 
@@ -72,12 +73,48 @@ class WordCRF:
         return out
 
     def posteriors(self, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Forward-backward over all sequences of a block in step: sequence i is scores[first[i]:first[i + 1]]."""
-        return forward_backward(scores, first, self.transitions, self.start)[0]
-
-
-def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, start: np.ndarray, want_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors of every position, and the expected transition counts if asked for."""
+        """Forward-backward over all sequences of a block in step: sequence i is scores[first[i]:first[i + 1]].
+
+        Long sequences are cut into chunks that go in step too.  A chunk's product of transitions and emissions carries
+        the forward message over it to the next one, and the backward message to the one before, so nothing is lost.
+        """
+        many = np.diff(first)
+        if not len(many) or many.max() <= CHUNK_WORDS:
+            return forward_backward(scores, first, self.transitions, self.start)[0]
+        pieces = np.maximum(-(-many // CHUNK_WORDS), 1)
+        owner = np.repeat(np.arange(len(many)), pieces)
+        lead = np.cumsum(pieces) - pieces  # each sequence's first chunk
+        cuts = np.append(first[owner] + (np.arange(len(owner)) - lead[owner]) * CHUNK_WORDS, first[-1])
+        size = np.diff(cuts)
+        step = np.exp(self.transitions - self.transitions.max())
+        linked = np.flatnonzero(pieces[owner] > 1)
+        order = linked[np.argsort(-size[linked], kind="stable")]
+        over = np.empty((len(order), *step.shape))
+        for t in range(int(size[order].max())):
+            live = int(np.searchsorted(-size[order], -t, "left"))
+            at = cuts[order[:live]] + t
+            emit = np.exp(scores[at] - scores[at].max(1, keepdims=True))[:, None, :]
+            over[:live] = np.eye(len(step)) * emit if t == 0 else (over[:live] @ step) * emit
+            over[:live] /= over[:live].sum((1, 2), keepdims=True)
+        of = dict(zip(order.tolist(), over))
+        entry = np.tile(np.exp(self.start - self.start.max()), (len(owner), 1))
+        leave = np.ones_like(entry)
+        for i in np.flatnonzero(pieces > 1):
+            a, b = int(lead[i]), int(lead[i] + pieces[i])
+            for c in range(a + 1, b):
+                v = entry[c - 1] @ of[c - 1] @ step
+                entry[c] = v / v.sum()
+            for c in range(b - 2, a - 1, -1):
+                v = step @ (of[c + 1] @ leave[c + 1])
+                leave[c] = v / v.sum()
+        return forward_backward(scores, cuts, self.transitions, self.start, ends=(entry, leave))[0]
+
+
+def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndarray, start: np.ndarray, want_pairs: bool = False, ends: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors of every position, and the expected transition counts if asked for.
+
+    ``ends`` gives each sequence's own messages before its first and after its last position.
+    """
     many = np.diff(first)
     order = np.argsort(-many, kind="stable")
     head, many = first[:-1][order], many[order]
@@ -86,16 +123,17 @@ def forward_backward(scores: np.ndarray, first: np.ndarray, transitions: np.ndar
     emit = np.exp(scores - scores.max(1, keepdims=True)) if len(scores) else scores
     step = np.exp(transitions - transitions.max())
     forward, out = np.empty_like(emit), np.empty_like(emit)
+    entry, leave = (x[order] for x in ends) if ends else (np.exp(start - start.max())[None], np.ones((1, emit.shape[1])))
     a = np.zeros((0, emit.shape[1]))
     for t in range(steps):
         at = head[: active[t]] + t
-        a = (np.exp(start - start.max()) if t == 0 else a[: active[t]] @ step) * emit[at]
+        a = (entry[: active[t]] if t == 0 else a[: active[t]] @ step) * emit[at]
         a = a / a.sum(1, keepdims=True)
         forward[at] = a
     pairs = np.zeros_like(step)
     b = np.zeros((0, emit.shape[1]))
     for t in range(steps - 1, -1, -1):
-        grown = np.ones((active[t], emit.shape[1]))
+        grown = np.array(np.broadcast_to(leave[: active[t]], (active[t], emit.shape[1])))
         at = head[: active[t]] + t
         if len(b):
             ahead = b * emit[at[: len(b)] + 1]

@@ -8,7 +8,8 @@ optimum and not the merge order.  A blank is the mark U+2581 and a text starts w
 spelled in bytes, so that decoding returns every text exactly.
 
 Pieces hold the mark only in front (or are runs of it), so the optimum splits at words: a block's distinct words are
-segmented once, all in step, byte by byte.
+segmented once, all in step, byte by byte.  A long run without blanks is split further, between any two characters that
+stand side by side in no piece: no piece crosses such a place, so the optimum is the same.
 
 Null texts give null; the empty text gives no pieces.  Ids out of range and control pieces decode to nothing.  Repeated
 rows are encoded alike.  Other columns are carried in ``row`` and may have any name.  The model file is a parameter,
@@ -33,6 +34,23 @@ from .textkit import Rolling, byte_class, runs, spans, string_buffers, text_bloc
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, MARK_BYTE = "▁", 0xFF  # no UTF-8 text holds the byte
 BLOCK_BYTES = 1 << 20
+LONG_RUN = 64  # bytes from which runs are looked at character by character
+
+
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the characters of UTF-8 bytes begin, and their bytes as one number each."""
+    begin = np.flatnonzero((data & 0xC0) != 0x80)
+    size = np.diff(begin, append=len(data))
+    code = data[begin].astype(np.uint64)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << np.uint64(8) | data[begin[more] + k]
+    return begin, code
+
+
+def neighbours(code: np.ndarray) -> np.ndarray:
+    """One number for each two characters side by side."""
+    return code[:-1] << np.uint64(32) | code[1:]
 
 
 @dataclass(frozen=True)
@@ -111,6 +129,10 @@ class Automaton:
         used[byte] = True
         self.alone = ~used & byte_class((0, 0x7F))  # characters of no piece stand alone
         self.byte_ids = np.array(model.byte_ids)
+        named = [x for x in model.pieces if x]
+        begin, code = characters(np.frombuffer(b"".join(named), np.uint8))
+        inside = ~np.isin(begin[1:], np.cumsum([len(x) for x in named]))
+        self.joined = np.unique(neighbours(code)[inside]) if len(code) else code  # side by side in a piece
 
     def segment(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units data[starts[i]:ends[i]], concatenated, and offsets; the units advance in step."""
@@ -191,6 +213,12 @@ class Automaton:
         cut[1:] |= alone[:-1] | mark[1:] & ~mark[:-1]
         cut[grown[:-1][full]] = True
         starts = np.flatnonzero(cut)
+        long = np.diff(starts, append=len(stream)) > LONG_RUN
+        if long.any():
+            place = spans(starts[long], np.diff(starts, append=len(stream))[long])
+            begin, code = characters(stream[place])
+            cut[place[begin[1:]][~np.isin(neighbours(code), self.joined)]] = True
+            starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(stream))
         keys = hashing.slices(hashing.sums(stream), starts, ends)
         order = np.argsort(keys, kind="stable")

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinforge.llm import frames, langid, quality, suffixtree
+from kinforge.llm import frames, langid, pieces, quality, suffixtree
 from kinforge.llm.textkit import Rolling, string_buffers
 
 
@@ -123,3 +124,27 @@ def test_samples_are_bounded(spark):
     some = taken["texts"][-2].split()
     assert len(some) == langid.SAMPLE_WORDS and set(some) <= set(long.split()) and len(set(some)) > 300
     assert langid.label_words("thing más", model) == [("thing", "en"), ("más", "es")]
+
+
+def test_long_texts_go_in_chunks():
+    rng = np.random.default_rng(0)
+    model = langid.WordCRF(tuple("abcd"), np.zeros((1, 4)), rng.normal(size=(4, 4)), rng.normal(size=4))
+    first = np.concatenate(([0], np.cumsum([0, 3, 1500, langid.CHUNK_WORDS, langid.CHUNK_WORDS + 1, 0, 2 * langid.CHUNK_WORDS, 1])))
+    scores = 3 * rng.normal(size=(first[-1], 4))
+    want = langid.forward_backward(scores, first, model.transitions, model.start)[0]
+    assert np.abs(model.posteriors(scores, first) - want).max() < 1e-9
+
+
+def test_long_runs_without_blanks_are_split_exactly():
+    model = pieces.load_model()
+    automaton, draw = pieces.Automaton(model), random.Random(1)
+    texts = ["".join(chr(draw.randrange(0x4E00, 0x5E00)) for _ in range(600)), "的一是不了人我在有他这中大来上国个到说们" * 30, "naïve的is" * 90, "a" * 300 + "é" * 200 + "日本語" * 40 + "👍🏽" * 30, "word " * 50 + "x" * 200]
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert automaton.encode(data, np.array([0, len(data)]), Rolling(7))[0].tolist() == pieces.encode_in_memory(text, model)
+    long = np.frombuffer("".join(chr(draw.randrange(0x4E00, 0x5E00)) for _ in range(700_000)).encode(), np.uint8)
+    began = time.perf_counter()
+    ids, _ = automaton.encode(long, np.array([0, len(long)]), Rolling(7))
+    assert time.perf_counter() - began < 20
+    spelling = pieces.Spelling(model)
+    assert next(spelling.texts(ids.astype(np.int64), np.array([0, len(ids)]))) == long.tobytes()
