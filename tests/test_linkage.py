@@ -293,3 +293,33 @@ def test_whole_plan_and_stream(spark, tmp_path):
     query = link_stream(read_entity_stream(spark, str(tmp_path / "in")), got.index, str(tmp_path / "out"), str(tmp_path / "ckpt"), kernels=False)
     query.awaitTermination(120)
     assert [r["cid"] for r in spark.read.parquet(str(tmp_path / "out/accepted")).collect()] == ["S2-001"]
+
+
+def test_evaluation_reads_what_is_kept(spark, small):
+    """The plan that compares with the truth reads the kept scores; it does not link once more."""
+    linkage = link(view(spark, small, "biz_s1"), [view(spark, small, t) for t in ("biz_s2", "biz_s3")], kernels=False)
+    assert linkage.scores.count() > 0
+    leaves = linkage.evaluate(view(spark, small, "biz_truth"))._jdf.queryExecution().withCachedData().collectLeaves()
+    kinds = [leaves.apply(i).nodeName() for i in range(leaves.size())]
+    assert len(kinds) < 20 and "CTERelationRef" not in kinds and "InMemoryRelation" in kinds, kinds
+    linkage.release()
+
+
+def test_joint_histograms():
+    rng = np.random.default_rng(8)
+    n = 3 * md.JOINT_CELLS  # joint counts at the root, single ones below
+    x = np.stack([rng.random(n), rng.integers(0, 2, n), rng.integers(0, 5, n), rng.random(n).round(1), np.ones(n)], axis=1)
+    y = (x[:, 0] + 0.3 * x[:, 1] + 0.05 * x[:, 2] + 0.1 * rng.random(n) > 0.8).astype(float)
+    columns = [np.unique(x[:, j], return_inverse=True)[1] % 128 for j in range(5)]
+    groups = md._joint_codes(columns, [128, 2, 5, 11, 1])
+    assert sorted(j for g, _, _ in groups for j in g) == [0, 1, 2, 3, 4] and len(groups) < 5
+    for members, sizes, cells in groups:
+        for j, v in zip(members, np.unravel_index(cells.astype(int), sizes)):
+            assert (v == columns[j]).all()
+    wide = md.fit_trees(x, y, rounds=8, leaves=15)
+    md.JOINT_CELLS, kept = n + 1, md.JOINT_CELLS
+    try:
+        single = md.fit_trees(x, y, rounds=8, leaves=15)
+    finally:
+        md.JOINT_CELLS = kept
+    assert np.allclose(wide.probability(x), single.probability(x)) and ((wide.probability(x) > 0.5) == y).mean() > 0.9
