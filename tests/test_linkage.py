@@ -323,3 +323,15 @@ def test_joint_histograms():
     finally:
         md.JOINT_CELLS = kept
     assert np.allclose(wide.probability(x), single.probability(x)) and ((wide.probability(x) > 0.5) == y).mean() > 0.9
+
+
+def test_grouped_sweep(spark):
+    """One sweep for all groups gives what a sweep of each gives."""
+    s1 = spark.createDataFrame([("a",), ("b",), ("c",)], "s1_id string")
+    truth = spark.createDataFrame([("a", "x"), ("b", "y")], "s1_id string, cid string")
+    scores = spark.createDataFrame([("a", "x", 0.9, 0), ("b", "z", 0.5, 0), ("c", "z", 0.7, 0), ("a", "x", 0.4, 1), ("b", "y", 0.6, 1)], "s1_id string, cid string, prob double, trial int")
+    groups = spark.createDataFrame([(0,), (1,), (2,)], "trial int")
+    got = ev.threshold_sweep(s1, truth, scores, (0.4, 0.6, 0.8), groups)
+    for n in range(3):
+        want = ev.threshold_sweep(s1, truth, scores.where(f"trial = {n}"), (0.4, 0.6, 0.8))
+        assert sorted(got.where(f"trial = {n}").drop("trial").collect()) == sorted(want.collect())
