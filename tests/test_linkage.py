@@ -335,3 +335,33 @@ def test_grouped_sweep(spark):
     for n in range(3):
         want = ev.threshold_sweep(s1, truth, scores.where(f"trial = {n}"), (0.4, 0.6, 0.8))
         assert sorted(got.where(f"trial = {n}").drop("trial").collect()) == sorted(want.collect())
+
+
+def test_models_learn_from_all_pairs(spark):
+    n = 400_000
+    some = (F.col("id") % 7 == 3).cast("int")
+    pairs = spark.range(n, numPartitions=3).select(F.concat(F.lit("a"), "id").alias("s1_id"), F.concat(F.lit("b"), "id").alias("cid"), *[(F.col("id") / n).alias(f) for f in FEATURES], some.alias("label"))
+    positive = len(range(3, n, 7))
+    assert np.isclose(tr.fit_screener(pairs, rounds=0).base, np.log(positive / (n - positive)), rtol=1e-12)
+    seen = tr.on_all_pairs(pairs, *[(lambda x, y: repr((x.shape, float(x[:, 0].sum(dtype=float)), float(y.sum(dtype=float)))).encode(), kind) for kind in (np.float64, np.float32)])
+    for shape, total, ones in map(eval, map(bytes.decode, seen)):
+        assert shape == (n, len(FEATURES)) and abs(total - (n - 1) / 2) < 0.1 and ones == positive
+    none = tr.fit_cascade(pairs.limit(0))
+    assert none.score(pairs.limit(3)).count() == 3 and none.score(pairs.limit(0)).count() == 0
+
+
+def test_fits_in_blocks(monkeypatch):
+    """Blocks and arrays on disk do not change the trees; the network learns from mixed blocks as well."""
+    rng = np.random.default_rng(3)
+    x = np.stack([rng.random(9000).round(k + 1) for k in range(4)], axis=1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + 0.1 * rng.random(9000) > 0.9).astype(float)
+    whole = md.fit_trees(x, y, rounds=12, leaves=15)
+    assert np.array_equal(md._cuts(x[:, 3], 16), np.unique(np.quantile(x[:, 3], np.linspace(0, 1, 17)[1:-1], method="lower")))
+    monkeypatch.setattr(md, "BLOCK", 1000)
+    monkeypatch.setattr(md, "IN_MEMORY", 0)
+    parts = md.fit_trees(x, y, rounds=12, leaves=15)
+    assert np.array_equal(whole.feature, parts.feature) and np.array_equal(whole.threshold, parts.threshold) and np.allclose(whole.value, parts.value)
+    x, y = x.astype(np.float32), y.astype(np.float32)
+    net = md.fit_network(x[900:], y[900:], x[:900], y[:900], width=16, narrow=8, batch=64)
+    assert md.area_under_curve(y[:900], net.probability(x[:900])) > 0.95 and {v.dtype for v in net.weights.values()} == {np.dtype(np.float32)}
+    assert np.allclose(net.weights["centre"], x[900:].mean(axis=0), atol=1e-5) and np.allclose(net.weights["spread"], x[900:].std(axis=0), atol=1e-4)
