@@ -365,3 +365,29 @@ def test_fits_in_blocks(monkeypatch):
     net = md.fit_network(x[900:], y[900:], x[:900], y[:900], width=16, narrow=8, batch=64)
     assert md.area_under_curve(y[:900], net.probability(x[:900])) > 0.95 and {v.dtype for v in net.weights.values()} == {np.dtype(np.float32)}
     assert np.allclose(net.weights["centre"], x[900:].mean(axis=0), atol=1e-5) and np.allclose(net.weights["spread"], x[900:].std(axis=0), atol=1e-4)
+
+
+def test_tuner_uses_all_pairs(spark, small, monkeypatch):
+    """Trials learn from the training part's pairs and are swept over all retrieved pairs of the validation part, none added or left out."""
+    from kinforge.plans import catalog
+
+    got = []
+    monkeypatch.setattr(tr, "random_search", lambda train, val, *_, **__: got.extend([train, val]) or [])
+    assert catalog.QUERIES["tune_screener"](spark, small).count() == 0
+    t = catalog.Tables(spark, small)
+    pairs = t.ranked.select("s1_id", "cid").join(sp.split_entities(t.s1, "s1_id"), "s1_id")
+    want = pairs.where("part = 'val'").select("s1_id", "cid")
+    assert got[1].select("s1_id", "cid").exceptAll(want).isEmpty() and want.exceptAll(got[1].select("s1_id", "cid")).isEmpty()
+    assert got[0].join(pairs.where("part = 'val'"), "s1_id", "left_semi").isEmpty() and got[0].exceptAll(t.training.where("part = 'train'").select(got[0].columns)).isEmpty()
+
+
+def test_trials_learn_from_all_pairs(spark, monkeypatch):
+    """No more pairs are left out, however many there are: the trial's base is the log odds over all."""
+    n = 400_000
+    pairs = spark.range(n, numPartitions=3).select(F.concat(F.lit("a"), "id").alias("s1_id"), F.concat(F.lit("b"), "id").alias("cid"), *[(F.col("id") / n).alias(f) for f in FEATURES], (F.col("id") % 7 == 3).cast("int").alias("label"))
+    bases, score = [], tr.Cascade.score
+    monkeypatch.setattr(tr.Cascade, "score", lambda self, val: bases.append(self.screener.base) or score(self, val))
+    few = pairs.where("label = 1").limit(5)
+    tr.random_search(pairs, few, few.select("s1_id"), few.select("s1_id", "cid"), trials=1, floors=(0.0,), rounds=0)
+    positive = len(range(3, n, 7))
+    assert np.isclose(bases, np.log(positive / (n - positive)), rtol=1e-12).all() and len(bases) == 1
